@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import packing, tokens
 
 QUERIES = {
     "op2_token_ids": tokens.op2_token_ids,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
