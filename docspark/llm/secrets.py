@@ -1,0 +1,201 @@
+"""Operator 1: secret scans, with DataFrame functions only.
+
+Base kinds are patterns (assignments, access keys, hex strings).  Beyond them a
+battery of randomness tests looks at every long token that mixes digits and
+letters: its encoding is inferred from its characters; chi-squared uniformity
+over that alphabet, a runs test about the alphabet's middle and the lag-1
+serial correlation give three p-values under "drawn uniformly", which Fisher's
+method combines.  Natural tokens have p near 0, random ones any p alike.  From
+the corpus-wide histogram of p in each stratum of encoding and length follows
+how many tokens above a threshold are not random; the lowest threshold that
+keeps this false-discovery rate under ``FDR`` holds for the stratum.
+
+Null and empty texts have no spans.  Repeated rows and ties each give a row of
+their own; nothing is joined by doc_id.  A null doc_id stays null.  Extra
+columns don't matter.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import shared
+
+#: Patterns of the base kinds (fixed values), with the prefilters that any match passes.
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_ANY = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: A token of this kind has a digit, within its first characters or after them.
+TOKEN_ANY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20}"
+KINDS = ("assign", "access", "hex", "random")
+#: Encodings by name: what all characters match, and the alphabet in order (fixed values).
+ENCODINGS = (
+    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", "^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base62", "^[0-9A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
+    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+)
+FDR = 0.05
+#: Below so many tokens a stratum's histogram says too little and FDR itself is the threshold.
+LEAST = 40
+BINS = 50
+
+
+def located(text: Column, pattern: str, least: int | None = None) -> Column:
+    """array<struct<s, e, m>>: leftmost non-overlapping matches with their code points.
+
+    The text between matches and the matches themselves alternate, so their
+    lengths add up to positions.  least: smallest length of group 2.
+    """
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
+    start = F.array().cast("array<struct<s:int,e:int,m:string,n:int>>")
+    steps = F.zip_with(
+        F.slice(gaps, 1, F.size(found)), F.zip_with(found, value, lambda m, v: F.struct(m.alias("m"), F.length(v).alias("n"))), lambda g, m: F.struct(g.alias("g"), m["m"].alias("m"), m["n"].alias("n"))
+    )
+
+    def add(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["g"]
+        end = begin + F.length(x["m"])
+        return F.struct(end.cast("int").alias("at"), F.concat(state["out"], F.array(F.struct(begin.cast("int").alias("s"), end.cast("int").alias("e"), x["m"].alias("m"), x["n"].cast("int").alias("n")))).alias("out"))
+
+    spans = F.aggregate(steps, F.struct(F.lit(0).cast("int").alias("at"), start.alias("out")), add, lambda state: state["out"])
+    return F.filter(spans, lambda x: x["n"] >= least) if least else spans
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+SPAN = "struct<s:int,e:int,m:string,n:int>"
+
+
+def upper_tail(z: Column) -> Column:
+    """P(Z > z) of a standard normal, by the polynomial approximation of Abramowitz and Stegun, 26.2.17."""
+    t = 1 / (1 + F.lit(0.2316419) * F.abs(z))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = poly * F.exp(-z * z / 2) / 2.5066282746310002
+    return F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-30))
+
+
+def randomness(token: Column) -> Column:
+    """struct<enc, p>: the inferred encoding and the combined p-value under uniform draws."""
+    enc = F.lit(len(ENCODINGS) - 1)
+    for i in range(len(ENCODINGS) - 2, -1, -1):
+        enc = F.when(token.rlike(ENCODINGS[i][1]), F.lit(i)).otherwise(enc)
+
+    def of_parts(c: Column) -> Column:
+        alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), c["enc"] + 1)
+        size = F.length(alphabet)
+        plain = F.when(c["enc"].isin(0, 2), F.lower(c["token"])).otherwise(F.translate(c["token"], "-_", "+/"))
+        return F.struct(c["enc"].alias("enc"), size.cast("double").alias("m"), F.transform(F.split(plain, ""), lambda x: F.instr(alphabet, x).cast("double") - 1).alias("x"))
+
+    def tests(c: Column) -> Column:
+        x, m = F.filter(c["x"], lambda v: v >= 0), c["m"]
+        n = F.size(x).cast("double")
+        ordered = F.array_sort(x)
+        # sum over symbols of count^2 = n + 2 * pairs of equal symbols; equal ones are neighbours when sorted
+        squares = F.aggregate(
+            ordered, F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
+            lambda s, v: F.struct(v.alias("last"), F.when(v == s["last"], s["run"] + 1).otherwise(1.0).alias("run"), (s["sum"] + 2 * F.when(v == s["last"], s["run"] + 1).otherwise(1.0) - 1).alias("sum")),
+            lambda s: s["sum"],
+        )
+        chi = squares * m / n - n
+        z1 = (chi - (m - 1)) / F.sqrt(2 * (m - 1) * (1 - 1 / n))
+        mean = (m - 1) / 2
+        pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        runs = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when((p["a"] > mean) != (p["b"] > mean), 1.0).otherwise(0.0))
+        z2 = F.abs(runs - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
+        z3 = F.abs(serial / ((m * m - 1) / 12)) / F.sqrt(n - 1)
+        fisher = -2 * (F.log(upper_tail(z1)) + F.log(F.least(2 * upper_tail(z2), F.lit(1.0))) + F.log(F.least(2 * upper_tail(z3), F.lit(1.0))))
+        return F.struct(c["enc"].alias("enc"), (F.exp(-fisher / 2) * (1 + fisher / 2 + fisher * fisher / 8)).alias("p"))
+
+    # each step once: bind values by transforming arrays of one element
+    step = F.transform(F.array(F.struct(enc.alias("enc"), token.alias("token"))), of_parts)
+    return F.element_at(F.transform(step, tests), 1)
+
+
+def stratum(enc: Column, length: Column) -> Column:
+    """Encoding and length class: powers of sqrt(2) from 20 on, at most 16."""
+    return (enc * 16 + F.least(F.lit(15), F.floor(2 * F.log2(length / 20.0)).cast("int"))).cast("int")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans by kind, and candidates array<struct<s, e, g, p>> (g: stratum)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select("doc_id", text.alias("t")).select(
+        "doc_id",
+        F.when(F.col("t").rlike(ASSIGN_ANY), located(F.col("t"), ASSIGN, 6)).otherwise(none_of(SPAN)).alias("assign"),
+        F.when(F.col("t").contains("AKIA"), located(F.col("t"), ACCESS)).otherwise(none_of(SPAN)).alias("access"),
+        F.when(F.col("t").rlike(HEX), located(F.col("t"), HEX)).otherwise(none_of(SPAN)).alias("hex"),
+        F.when(F.col("t").rlike(TOKEN_ANY), located(F.col("t"), TOKEN)).otherwise(none_of(SPAN)).alias("tokens"),
+    )
+    mixed = F.filter("tokens", lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
+    scored = F.transform(mixed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), randomness(x["m"]).alias("r")))
+    candidates = F.transform(scored, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), stratum(x["r"]["enc"], x["e"] - x["s"]).alias("g"), x["r"]["p"].alias("p")))
+    ends = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    return found.select("doc_id", *[ends(k).alias(k) for k in KINDS[:3]], F.when(F.size("tokens") > 0, candidates).otherwise(none_of("struct<s:int,e:int,g:int,p:double>")).alias("candidates"))
+
+
+def thresholds(scanned: DataFrame) -> dict[int, float]:
+    """The least p of each stratum that counts as random; at most 80 strata of BINS bins reach the driver."""
+    one = scanned.filter(F.size("candidates") > 0).select(F.explode("candidates").alias("c"))
+    bins = one.groupBy(F.col("c.g").alias("g"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("b")).count().collect()
+    by: dict[int, list[int]] = {}
+    for row in bins:
+        by.setdefault(row["g"], [0] * BINS)[row["b"]] += row["count"]
+    out = {}
+    for g, counts in by.items():
+        total = sum(counts)
+        random = min(1.0, sum(counts[BINS // 2 :]) / (0.5 * total))
+        out[g] = FDR
+        if total >= LEAST:
+            out[g] = 1.0
+            above = total
+            for b in range(BINS):
+                expected = random * total * (1 - b / BINS)
+                if above and 1 - expected / above <= FDR:
+                    out[g] = b / BINS
+                    break
+                above -= counts[b]
+    return out
+
+
+def report(scanned: DataFrame, least: dict[int, float]) -> DataFrame:
+    """doc_id, spans array<struct<s, k, e>> by start and kind; random ones only outside base spans."""
+    def kind(number: int):
+        return lambda x: F.struct(x["s"].alias("s"), F.lit(number).alias("k"), x["e"].alias("e"))
+
+    base = F.concat(*[F.transform(k, kind(i)) for i, k in enumerate(KINDS[:3])])
+    limit = F.create_map(*[F.lit(v) for g, p in least.items() for v in (g, p)]) if least else F.create_map(F.lit(-1), F.lit(1.0))
+    random = F.filter("candidates", lambda x: (x["p"] >= F.coalesce(limit[x["g"]], F.lit(1.0))) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    return (
+        scanned.withColumn("base", F.sort_array(base))
+        .withColumn("random", F.transform(random, kind(3)))
+        .withColumn("all", F.sort_array(F.concat("base", "random")))
+    )
+
+
+def written(spans: str) -> Column:
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def find_secrets(docs: DataFrame, scratch: shared.Scratch) -> DataFrame:
+    scanned = scratch.keep(scan(docs), "scanned")
+    return report(scanned, thresholds(scanned))
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(shared.table(spark, sf_dir, "documents"), shared.Scratch(spark, "op1"))
+    size = lambda k: F.size(k).cast("long")
+    return found.select(
+        "doc_id", size("assign").alias("n_assign"), size("access").alias("n_access"), size("hex").alias("n_hex"),
+        F.sha2(written("base"), 256).alias("base_sha256"), written("all").alias("spans"), size("random").alias("n_random"),
+    )
