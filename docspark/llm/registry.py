@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, tokens
+from . import packing, quality, secrets, tokens, warc
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_token_ids": tokens.op2_token_ids,
+    "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
 }

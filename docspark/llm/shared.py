@@ -26,6 +26,9 @@ class Scratch:
             base = "file:///tmp/docspark-scratch"
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
+        # a path without a scheme belongs to the cluster's default file system
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
         self.uri = f"{base.rstrip('/')}/docspark-{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
