@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, tokens, warc
+from . import decontaminate, packing, quality, secrets, tokens, warc
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
