@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, quality, secret_scan, tokens, warc
+from . import decontaminate, neardup, packing, quality, secret_scan, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_token_ids": tokens.op2_token_ids,
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
