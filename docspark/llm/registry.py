@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, quality, secret_scan, tokens, toxicity, warc
+from . import decontaminate, extraction, neardup, packing, pii, quality, secret_scan, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_token_ids": tokens.op2_token_ids,
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_html_extraction": extraction.op5_html_extraction,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
 }
