@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from . import neardup, shared
 
+#: Labelled documents that the scorer is fitted on at most, of the least hashed ids (about; a documented bound of the classifier).
+LABELLED = 200_000
 #: Lengths of prefixes beside whole words.
 PREFIXES = (3, 4, 5, 6)
 #: Prior weight in documents; a token counts from so many toxic documents on.
@@ -205,11 +207,16 @@ def sketches(labelled: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, scratch: shared.Scratch) -> tuple[Scorer | None, float]:
     """A scorer from the labelled documents that may be learned from, and the share of toxic ones."""
     told = labels.filter(F.col("toxic").isNotNull() & learned("doc_id")).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    chosen = docs.filter(learned("doc_id")).select("doc_id", "text").join(told, "doc_id")
+    told = scratch.keep(told, "told")
+    number = told.count()
+    if number > LABELLED:
+        told = told.filter(F.pmod(F.xxhash64("doc_id"), F.lit(number)) < LABELLED)
+    # at most about LABELLED rows of a few bytes, so both broadcasts are bounded and no text is shuffled
+    chosen = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")
     fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3).cast("int")
     sketched = scratch.keep(sketches(chosen.select("text", "toxic", fold.alias("fold"))), "sketched")
-    groups = sketched.groupBy("sketch").agg(F.count("*").cast("double").alias("size"))
-    labelled = scratch.keep(sketched.join(groups, "sketch"), "labelled")
+    groups = sketched.groupBy("sketch").agg(F.count("*").cast("double").alias("copies")).filter("copies > 1")
+    labelled = sketched.join(F.broadcast(groups), "sketch", "left").withColumn("size", F.coalesce("copies", F.lit(1.0)))
     kinds = {(r["toxic"], r["fold"]): r["n"] for r in labelled.groupBy("toxic", "fold").agg(F.sum(1 / F.col("size")).alias("n")).collect()}
     number = lambda toxic, *folds: sum(kinds.get((toxic, f), 0) for f in folds)
     toxic, clean = number(True, 0, 1), number(False, 0, 1)
