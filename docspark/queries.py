@@ -7,6 +7,7 @@ rows by JSON expressions; the SQL states the expected result in closed form.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,7 @@ def lit(x) -> Column:
 
 def quote(c) -> Column:
     """A JSON string."""
-    return F.substring(F.to_json(F.struct(lit(c).cast("string").alias("x"))), 6, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.struct(lit(c).cast("string").alias("x")))) - 6)
+    return F.regexp_extract(F.to_json(F.struct(lit(c).cast("string").alias("x"))), r"(?s)^.{5}(.*).$", 1)
 
 
 def attrs(**values) -> Column:
@@ -468,7 +469,7 @@ def stream_convert(spark, sf_dir):
     from docspark.streaming import convert as stream
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    place = f"{base.rstrip('/')}/docspark-stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(spark))))}-{F.rand()._jc.hashCode()}"
+    place = f"{base.rstrip('/')}/docspark-stream-{uuid.uuid4().hex}"
     hostile(spark, sf_dir).write.mode("overwrite").parquet(f"{place}/in")
     stream.write(stream.converted(stream.read(spark, f"{place}/in")), f"{place}/out", f"{place}/state").awaitTermination()
     return spark.read.parquet(f"{place}/out").select("doc_id", "body")
