@@ -11,10 +11,10 @@ import unicodedata
 from urllib.parse import quote
 
 #: JVM white space (fixed value): separators without the no-break ones, and controls.
-JVM_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f               　"
+JVM_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
 TRIM_SPACE = "".join(map(chr, range(33)))
 #: Any line break (fixed value).
-BREAK = re.compile("\r\n|[\n\x0b\x0c\r\x85  ]")
+BREAK = re.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
 _SPACE_RUN = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
@@ -62,7 +62,7 @@ def first_clean(*values: str | None) -> str | None:
 
 
 def utf16_length(s: str) -> int:
-    return len(s) + sum(c > "￿" for c in s)
+    return len(s) + sum(c > "\uffff" for c in s)
 
 
 # ---- escapes
@@ -75,7 +75,7 @@ _LEADING = re.compile(r"(?P<code>\t| (?= {3}))|(?P<gap> {0,3})(?:(?P<mark>[#>+-]
 
 def _wordlike(c: str) -> bool:
     """A letter or decimal digit of the basic plane."""
-    return c <= "￿" and (unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd")
+    return c <= "\uffff" and (unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd")
 
 
 def escape_signs(s: str, parens: bool = False) -> str:
@@ -195,7 +195,7 @@ def html_text(s: str | None) -> str:
 
 
 def html_attribute(s: str) -> str:
-    return s.replace("&", "&amp;").replace('"', "&quot;").replace(" ", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
+    return s.replace("&", "&amp;").replace('"', "&quot;").replace("\u00a0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
 def anchor(name: str | None) -> str:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from docspark.functions import text as t
 from docspark.plans import tree
 
+#: URLs of pages, the page id in the group (fixed value).
 PAGE_URL = r"(?i)^(?:https?://[^/]+)?(?:/wiki)?(?:/spaces/[^/]+)?/pages/(?:edit-v\d+/)?(\d+)(?:/[^?#]*)?(?:\?.*)?(?:#.*)?$"
-STRIP = r"^[\t\n\x0B\f\r\x1c-\x1f   -  -    　]+|[\t\n\x0B\f\r\x1c-\x1f   -  -    　]+$"
+#: JVM white space at either end (fixed value).
+STRIP = r"^[\t\n\x0B\f\r\x1c-\x1f \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]+|[\t\n\x0B\f\r\x1c-\x1f \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]+$"
 
 
 def clean(c: Column) -> Column:

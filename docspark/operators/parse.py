@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docspark.functions import text as t
 from docspark.plans import tree
 
-BLANK = r"^[\t\n\x0B\f\r\x1c-\x1f   -  -    　]*$"
+BLANK = r"^[\t\n\x0B\f\r\x1c-\x1f \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]*$"
 
 
 def nesting(adf: Column) -> Column:

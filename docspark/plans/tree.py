@@ -225,6 +225,7 @@ MEDIA = {
     "type": "type", "id": "id", "local_id": "localId", "url": "url", "collection": "collection", "alt": "alt", "width": "width", "height": "height",
     "media_type": "mediaType", "mime": "__fileMimeType", "file_name": "__fileName", "name": "name",
 }
+#: Types of extensions (fixed values).
 MIGRATION, MACRO, CHART = "com.atlassian.confluence.migration", "com.atlassian.confluence.macro.core", "com.atlassian.chart"
 
 
@@ -240,6 +241,7 @@ def media(node: Node) -> dict[str, str | None] | None:
     return None
 
 
+#: URLs of pages, the page id in the group (fixed value).
 PAGE_URL = re.compile(r"(?:https?://[^/]+)?(?:/wiki)?(?:/spaces/[^/]+)?/pages/(?:edit-v[0-9]+/)?([0-9]+)(?:/[^?#]*)?(?:\?.*)?(?:#.*)?", re.I)
 
 
