@@ -191,7 +191,7 @@ def contamination(docs: DataFrame, bench: DataFrame, scratch: shared.Scratch, ke
 
     def search(batches):
         for whole in batches:
-            for batch in shared.slices(whole, "text", 8 << 20):
+            for batch in shared.slices(whole, "text", 4 << 20):
                 data, offsets = shared.text_bytes(batch.column(batch.schema.get_field_index("text")))
                 h, _, _, begin = shared.word_hashes(data, offsets, shared.ALPHANUMERIC)
                 mask = np.zeros(len(h) + 1, np.int64)

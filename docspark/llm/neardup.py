@@ -12,7 +12,8 @@
 4. Skip: members of a key's list are first matched with one leader, and links
    found are contracted to components.  Pairs of a list that are in one
    component already need no look.  A second round takes a leader of its own
-   for every key; then the pairs still apart are matched one by one.
+   for every key; then the pairs still apart are matched one by one, and in
+   long lists compared on the full sets in blocks of bounded size.
    A match is a collision count of at least MATCHES; every match is confirmed
    on the full sets.
 5. Components are found by contracting edges to the smallest id, in tables.
@@ -37,6 +38,8 @@ MATCHES = 36
 PERCENT = 80
 #: Ids of matched documents that may be broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Members of a list that are still matched pair by pair; longer lists are compared in blocks of so much.
+SHORT_LIST, BLOCK_DOCUMENTS, BLOCK_SHINGLES = 48, 192, 150_000
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2)
@@ -82,7 +85,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         salt = np.uint64(0x5851F42D4C957F2D)
         for whole in batches:
-            for batch in shared.slices(whole, "text", 8 << 20):
+            for batch in shared.slices(whole, "text", 4 << 20):
                 sets = shingle_sets(batch.column(1), words)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 full = [x for x in sets if len(x)]
@@ -207,18 +210,84 @@ def links_between(reps: DataFrame, docs: DataFrame, words: int, scratch: shared.
         links = links.unionByName(confirmed(second, docs, words, scratch, "round-2"))
         comps = components(links, scratch, "comps-2")
         left = apart(left.select("key", "id"), comps, scratch, "apart-2")
-    # what is still apart, pair by pair; the join keeps matches only
-    signed = left.join(signs, "id")
+    # what is still apart: in short lists pair by pair, in long ones block by block; only matches and links are rows
+    left = scratch.keep(left.join(left.groupBy("key").agg(F.count("*").alias("size")), "key"), "left")
+    signed = left.filter(F.col("size") <= SHORT_LIST).join(signs, "id")
     a = signed.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sign").alias("sa"))
     b = signed.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
     alike = (F.col("ca") < F.col("cb")) & similar_sizes(F.col("na"), F.col("nb")) & (agreeing(F.col("sa"), F.col("sb")) >= MATCHES)
     third = a.join(b, "key").filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = first.unionByName(second.select("a", "b"))
     third = scratch.keep(third.join(tried, ["a", "b"], "left_anti"), "pairs-3")
+    more = []
     if not third.isEmpty():
-        links = links.unionByName(confirmed(third, docs, words, scratch, "round-3"))
-        comps = components(links, scratch, "comps-3")
-    return comps
+        more.append(confirmed(third, docs, words, scratch, "round-3"))
+    long = left.filter(F.col("size") > SHORT_LIST).select("key", "id", "comp")
+    if not long.isEmpty():
+        more.append(in_blocks(long, signs, docs, words, scratch))
+    for found in more:
+        links = links.unionByName(found)
+    return components(links, scratch, "comps-3") if more else comps
+
+
+def in_blocks(postings: DataFrame, signs: DataFrame, docs: DataFrame, words: int, scratch: shared.Scratch) -> DataFrame:
+    """Links (a, b) between members of long lists that are in different components.
+
+    Lists that share members are one cluster.  Its documents are dealt by size
+    into bands a factor of 1.25 wide, so that similar ones are in the same or
+    in neighbouring bands, and each band into blocks of bounded content.  A task
+    gets two blocks and compares them on the full sets; nothing grows with the
+    number of pairs but the comparisons.
+    """
+    leaders = postings.groupBy("key").agg(F.min("id").alias("a"))
+    clusters = components(postings.join(leaders, "key").select("a", F.col("id").alias("b")), scratch, "clusters")
+    members = postings.select("id", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "id").join(signs.select("id", "n"), "id")
+    members = scratch.keep(members.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")), "block-members")
+    sizes = members.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCUMENTS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = scratch.keep(sizes, "block-sizes")
+    above = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
+    below = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
+    around = sizes.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left").na.fill(0, ["blocks_above", "blocks_below"])
+    dealt = members.join(around, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pair = lambda band, i, step, j: F.struct(band.alias("band"), i.cast("int").alias("i"), F.lit(step).alias("step"), j.cast("int").alias("j"))
+    up_to = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), make)).otherwise(F.array().cast("array<struct<band:int,i:int,step:int,j:int>>"))
+    band, block = F.col("band"), F.col("block")
+    turns = F.concat(
+        up_to(F.col("blocks"), lambda j: pair(band, F.least(block, j), 0, F.greatest(block, j))),
+        up_to(F.col("blocks_above"), lambda j: pair(band, block, 1, j)),
+        up_to(F.col("blocks_below"), lambda j: pair(band - 1, j, 1, block)),
+    )
+    ids = scratch.keep(members.select(F.col("id").alias("doc_id")).distinct(), "block-ids")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select("doc_id", "text").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = scratch.keep(texts.withColumnRenamed("doc_id", "id"), "block-texts")
+    rows = dealt.select("cluster", "id", "comp", "band", F.explode(turns).alias("t")).join(texts, "id").select("cluster", "t", "id", "comp", "band", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, band = (table.column(c).to_numpy() for c in ("id", "comp", "band"))
+        sets = shingle_sets(table.column("text"), words)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        del values
+        row = np.repeat(np.arange(len(sets)), sizes)
+        column = np.cumsum(counts > 1) - 1
+        shared_by = counts[where] > 1
+        row, column = row[shared_by], column[where[shared_by]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float64)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            both += part @ part.T
+        union = sizes[:, None] + sizes[None, :] - both
+        apart = (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
+        i, j = np.nonzero(apart & (100 * both >= PERCENT * union) & (both > 0))
+        return pa.table({"a": pa.array(ids[i]), "b": pa.array(ids[j])})
+
+    links = rows.groupBy("cluster", "t").applyInArrow(run, "a bigint, b bigint")
+    return scratch.keep(links.distinct(), "block-links")
 
 
 def near_duplicates(docs: DataFrame, scratch: shared.Scratch, words: int = 5) -> DataFrame:

@@ -404,7 +404,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         import pyarrow.compute as pc
 
         for whole in batches:
-            for batch in shared.slices(whole, "text", 8 << 20):
+            for batch in shared.slices(whole, "text", 4 << 20):
                 text = pc.fill_null(batch.column(batch.schema.get_field_index("text")), "")
                 on = np.flatnonzero(pc.match_substring_regex(text, "[0-9@]").to_numpy(zero_copy_only=False))
                 some = dict(zip(on.tolist(), spans_of(tagger.value, text.take(pa.array(on)).to_pylist()), strict=True))

@@ -199,6 +199,19 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def tidy() -> None:
+    """Give back what a worker has freed; workers live on between tasks and stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch, column: str, limit: int = 16 << 20):
     """Cut a record batch so that each piece holds about ``limit`` text bytes."""
     import pyarrow as pa
@@ -211,3 +224,4 @@ def slices(batch, column: str, limit: int = 16 << 20):
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(int(a), int(b - a))
+    tidy()

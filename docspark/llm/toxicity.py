@@ -101,7 +101,7 @@ class Scorer:
                 x = get(w[:k], 0.0)
                 if abs(x) > abs(best):
                     best = x
-        if len(self.memory) > 500_000:
+        if len(self.memory) > 100_000:
             self.memory.clear()
         self.memory[w] = best - DRIFT
         return best - DRIFT
@@ -197,7 +197,7 @@ def sketches(labelled: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in shared.slices(whole, "text", 8 << 20):
+            for batch in shared.slices(whole, "text", 4 << 20):
                 least = [int(shared.signed(x[:1])[0]) if len(x) else 0 for x in neardup.shingle_sets(batch.column(0), 5)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=[*batch.schema.names, "sketch"])
 
@@ -270,7 +270,7 @@ def score(docs: DataFrame, labels: DataFrame, scratch: shared.Scratch, keep: tup
     def run(batches):
         own = Scorer(weights.value, *form) if form else None
         for whole in batches:
-            for batch in shared.slices(whole, "text", 8 << 20):
+            for batch in shared.slices(whole, "text", 4 << 20):
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 found = [own.evidence(t or "") if own else (0.0, []) for t in texts]
                 scores = [own.score(e) if own else share for e, _ in found]
