@@ -13,7 +13,9 @@ PACKAGE = Path(__file__).resolve().parent.parent
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark context."""
+    """Give the executors this package, once for each Spark context; and keep Arrow batches small."""
+    # texts are long rows: batches of the default 10,000 hold tens of megabytes in the JVM and in Python at once
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
     context = spark.sparkContext
     if getattr(context, "_docspark_shipped", False):
         return
