@@ -16,7 +16,8 @@
    long lists compared on the full sets in blocks of bounded size.
    A match is a collision count of at least MATCHES; every match is confirmed
    on the full sets.
-5. Components are found by contracting edges to the smallest id, in tables.
+5. Components are found by contracting edges to the smallest id, in tables; a
+   bounded number of links is united in one task.
 
 Null and empty texts, and texts of white space, have empty sets and no links.
 Texts of fewer words than a shingle are one shingle.  Repeated rows of one
@@ -38,6 +39,8 @@ MATCHES = 36
 PERCENT = 80
 #: Ids of matched documents that may be broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Links up to which components are found in one task; more are contracted by joins, round by round.
+TASK_LINKS = 100_000
 #: Members of a list that are still matched pair by pair; longer lists are compared in blocks of so much.
 SHORT_LIST, BLOCK_DOCUMENTS, BLOCK_SHINGLES = 48, 192, 150_000
 _RNG = np.random.default_rng(20240607)
@@ -153,9 +156,30 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, scratch: shared.Scr
     return scratch.keep(joined.mapInArrow(run, "a bigint, b bigint"), f"{name}-links")
 
 
+def united(batches):
+    """id and the least id of its component, by union and find over all batches of edges."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            top.setdefault(a, a)
+            top.setdefault(b, b)
+            a, b = root(a), root(b)
+            top[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([root(x) for x in top], pa.int64())], names=["id", "comp"])
+
+
 def components(links: DataFrame, scratch: shared.Scratch, name: str) -> DataFrame:
     """id, comp: the smallest id that links reach, for every id in links."""
     edges = scratch.keep(links.select("a", "b").filter("a <> b").distinct(), f"{name}-edges")
+    if edges.count() <= TASK_LINKS:
+        return scratch.keep(edges.coalesce(1).mapInArrow(united, "id bigint, comp bigint"), f"{name}-label")
     label = None
     turn = 0
     while not edges.isEmpty():

@@ -428,6 +428,7 @@ def near_copies(seed):
 def test_near_duplicates(spark, edge_docs, monkeypatch, short_list):
     monkeypatch.setattr(neardup, "SHORT_LIST", short_list)
     monkeypatch.setattr(neardup, "BLOCK_DOCUMENTS", 7)
+    monkeypatch.setattr(neardup, "TASK_LINKS", 0 if short_list == 1 else 100_000)
     rows = [(100 + i, t, -1) for i, t in enumerate(near_copies(9))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id int").repartition(3)
     docs = docs.unionByName(edge_docs.select("doc_id", "text", F.lit(-1).alias("component_id")))
