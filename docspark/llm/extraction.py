@@ -56,7 +56,7 @@ FEATURES = ("one", "log_words", "link_share", "ends_sentence", "sentences", "par
 START = np.array([-1.2, 0.9, -4.0, 1.2, 0.3, 0.6, 0.2, -0.8, 0.0, -1.0])
 #: Costs from the elements' meaning, and weights of edges.
 STRUCTURE, NEIGHBOUR, PARENT, HUB = 5.0, 1.0, 0.5, 0.25
-#: Pages that the classifier is fitted on at most, of the least hashed ids.
+#: Pages that the classifier is fitted on, about: those whose hashed ids fall on as many of the table's rows.
 SAMPLE_PAGES = 300
 
 
@@ -338,7 +338,9 @@ def main_text(source: str | None, weights: np.ndarray = START) -> str:
 
 def extract(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of pages (page_id, url, html)."""
-    some = pages.filter(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(sample)
+    number = pages.select("page_id").count()
+    chosen = pages if number <= sample else pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(number)) < sample)
+    some = chosen.filter(F.col("html").isNotNull()).select("html").limit(2 * sample)  # about ``sample`` rows, but ids may repeat
     weights = fit([r["html"] for r in some.collect()])
 
     def run(batches):
