@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for found, ids, number in tokens.encode_batches(batches, path, end_id, 16 << 20):
+        for found, ids, number in tokens.encode_batches(batches, path, end_id):
             n = -(-number // capacity)
             first = number - (n - 1) * capacity
             doc = np.repeat(np.arange(len(number)), n)

@@ -36,7 +36,7 @@ from . import shared
 MAGIC = b"DSPKIDS1"
 BLOCK = 4096
 #: Entries that a worker remembers at most; the memory is emptied when full.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: Kinds of bytes: white space 0, letters (all beyond ASCII) 1, digits 2, other signs 3.
 KINDS = np.full(256, 3, np.uint8)
 KINDS[list(b" \t\n\r\x0b\x0c")] = 0
@@ -221,7 +221,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, limit: int = 32 << 20):
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, limit: int = 4 << 20):
     """Yields (doc_ids, ids of all documents, number of ids of each), end id included."""
     import pyarrow.compute as pc
 
