@@ -277,7 +277,7 @@ def page_tree_expand(spark, sf_dir):
 @query(f"""select c.conv_id as doc_id, case when d.doc_id % 2 = 0 then 'E ' || d.source else '\\[Excerpt include: D' || (c.conv_id % 300) || ' / x\\]' end as body from (select distinct conv_id from conversations) c join documents d on d.doc_id = c.conv_id % 300 % (select count(*) from documents)
  where c.conv_id % 300 < (select count(*) from documents)""")
 def excerpt_resolve(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 300")
+    d = table(spark, sf_dir, "documents")
     body = node("bodiedExtension", [paragraph(text(F.concat(F.lit("E "), F.col("source"))))], F.concat(F.lit(f'{{"extensionType":"{MACRO}","extensionKey":"excerpt","parameters":{{"macroParams":{{"name":{{"value":"x"}}}}}}}}')))
     sources = d.filter("doc_id % 2 = 0").select(F.concat(F.lit("D"), F.col("doc_id")).alias("document_title"), doc([body]).alias("adf"))
     asked = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(d.select("doc_id"), F.col("conv_id") % 300 == F.col("doc_id"))

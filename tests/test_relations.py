@@ -131,6 +131,13 @@ def test_query_equals_sql(spark, data, duck, name):
     assert plain(got) == plain(want)
 
 
+def test_excerpts_are_defined_by_all_documents(spark, monkeypatch):
+    whole, seen = "/root/testdata/sf0.01", []
+    monkeypatch.setattr(queries.convert, "corpus_excerpts", lambda sources, of=convert.corpus_excerpts: seen.append(sources) or of(sources))
+    queries.excerpt_resolve(spark, whole)
+    assert seen[0].count() == spark.read.parquet(f"{whole}/documents.parquet").filter("doc_id % 2 = 0").count() > 150
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(3).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
