@@ -43,6 +43,10 @@ NEGATIVE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies discussion disqus cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe subscription signup login register form search share sharing social related recommended widget pagination pager tags toolbar hidden".split()
 )
 POSITIVE_NAMES = frozenset("article content post entry story main text body".split())
+#: A class name with one of these tells what a page has, not what the element is: has-sidebar, share-enabled (fixed values).
+TELLING = frozenset("has with without no enabled disabled open closed".split())
+#: What an element says of itself: hidden; negative by its kind or role; a form; negative by a class word; positive by a class word or role; article; main.
+HIDDEN, ELEMENT, FORM, WORD, NOTHING, NAMED, ARTICLE, MAIN = -4, -3, -2, -1, 0, 1, 2, 3
 #: Elements that end when one of these begins (fixed values).
 IMPLIED = {
     "p": frozenset(BLOCKS - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -54,8 +58,12 @@ SPACES = re.compile(r"\s+")
 #: Start weights of the classifier by feature.
 FEATURES = ("one", "log_words", "link_share", "ends_sentence", "sentences", "paragraph", "heading", "item", "place", "signs")
 START = np.array([-1.2, 0.9, -4.0, 1.2, 0.3, 0.6, 0.2, -0.8, 0.0, -1.0])
-#: Costs from the elements' meaning, and weights of edges.
-STRUCTURE, NEIGHBOUR, PARENT, HUB = 5.0, 1.0, 0.5, 0.25
+#: Bound of a block's classifier cost.
+LIMIT = 4.0
+#: Costs from the elements' meaning: what is hidden stays out, an element's kind needs the classifier and edges against it, a class word the classifier alone.
+UNSEEN, STRUCTURE, WORDS = 20.0, 4.5, 3.5
+#: Weights of edges.
+NEIGHBOUR, PARENT, HUB = 1.0, 0.5, 0.25
 #: Pages that the classifier is fitted on, about: those whose hashed ids fall on as many of the table's rows.
 SAMPLE_PAGES = 300
 
@@ -68,12 +76,13 @@ class Block:
 
 
 class Page:
-    """Blocks of a page, and for each element that holds text its parent, depth and meaning (-1, 0, 1)."""
+    """Blocks of a page, and for each element that holds text its parent, depth, meaning (-1, 0, 1) and the meaning's cost."""
 
     def __init__(self, source: str):
         self.blocks: list[Block] = []
-        self.parent, self.depth, self.meaning = [-1], [0], [0]
+        self.parent, self.depth, self.own, self.header = [-1], [0], [NOTHING], [False]
         self._read(source)
+        self._mean()
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # element, container
@@ -138,9 +147,9 @@ class Page:
                         break
                 attributes = m[3] or m[6] or ""
                 self.parent.append(stack[-1][1])
-                above = self.meaning[stack[-1][1]]
                 self.depth.append(self.depth[stack[-1][1]] + 1)
-                self.meaning.append(self._meaning(name, attributes, above))
+                self.own.append(self._says(name, attributes))
+                self.header.append(name == "header")
                 stack.append((name, len(self.parent) - 1))
             else:
                 anchors += name == "a"
@@ -165,30 +174,71 @@ class Page:
         return at
 
     @staticmethod
-    def _meaning(name: str, attributes: str, above: int) -> int:
-        if above < 0:
-            return -1
-        own = 0
-        if name in POSITIVE:
-            own = 1
-        elif name in NEGATIVE:
-            own = 0 if name == "header" and above > 0 else -1
+    def _says(name: str, attributes: str) -> int:
+        """What an element says of itself by kind, role and class words."""
+        own = MAIN if name == "main" else ARTICLE if name == "article" else FORM if name == "form" else ELEMENT if name in NEGATIVE else NOTHING
         if attributes and "=" in attributes or "hidden" in attributes:
+            bad = good = False
             for key, *values in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values).lower()
-                if key == "role" and value in NEGATIVE_ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                    return -1
+                if key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+                    return HIDDEN
+                if key == "role" and value in NEGATIVE_ROLES and own not in (MAIN, ARTICLE):
+                    own = ELEMENT
                 if key == "role" and value in ("main", "article"):
-                    own = own or 1
+                    own = MAIN if value == "main" else max(own, ARTICLE)
                 if key in ("class", "id"):
-                    names = set(re.split(r"[^a-z0-9]+", value))
+                    names: set[str] = set()
+                    for one in value.split():
+                        words = set(re.split(r"[^a-z0-9]+", one))
+                        names |= words - NEGATIVE_NAMES if words & TELLING else words
                     if names & NEGATIVE_NAMES and not (names & POSITIVE_NAMES and names & {"header", "side", "form", "text", "tags"}):
-                        return -1
-                    if names & POSITIVE_NAMES:
-                        own = own or (1 if names & {"article", "main", "entry", "story", "post", "content"} else 0)
+                        bad = True
+                    if names & {"article", "main", "entry", "story", "post", "content"}:
+                        good = True
             if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
-                return -1
-        return own or above
+                return HIDDEN
+            if own == ARTICLE and bad and not good:
+                return NOTHING  # an article of comments, say: what is around it and its text decide
+            if own == NOTHING and name not in ("html", "body"):
+                own = WORD if bad else NAMED if good else NOTHING
+        return own
+
+    def _mean(self) -> None:
+        """Each element's meaning and its cost, from what it and those around it say.
+
+        An element that holds the page's main part isn't negative by a class
+        word or as a form: a main, or an article where the page has no main and
+        every article is within something negative.
+        """
+        own, parent = self.own, self.parent
+        n = len(own)
+        under = [False] * n
+        for c in range(1, n):
+            under[c] = under[parent[c]] or own[parent[c]] < 0
+        kind = MAIN if MAIN in own else ARTICLE if all(under[c] for c in range(n) if own[c] == ARTICLE) else None
+        holds = [False] * n
+        for c in range(n - 1, 0, -1):
+            if holds[c] or own[c] == kind:
+                holds[parent[c]] = True
+        self.meaning, self.cost = [0] * n, [0.0] * n
+        for c in range(1, n):
+            up, cost, o = self.meaning[parent[c]], self.cost[parent[c]], own[c]
+            if cost == UNSEEN or o == HIDDEN:
+                up, cost = -1, UNSEEN
+            elif o == MAIN:
+                up, cost = 1, STRUCTURE
+            elif o == ARTICLE:
+                up, cost = (1, STRUCTURE) if up >= 0 else (0, 0.0)
+            elif holds[c] and o in (FORM, WORD) or self.header[c] and up > 0 and o == ELEMENT:
+                pass
+            elif o in (ELEMENT, FORM):
+                up, cost = -1, STRUCTURE
+            elif o == WORD and up >= 0:
+                up, cost = -1, WORDS
+            elif o == NAMED and up == 0:
+                up, cost = 1, STRUCTURE
+            self.meaning[c], self.cost[c] = up, cost
 
 
 def features(page: Page) -> np.ndarray:
@@ -308,7 +358,7 @@ def content(page: Page, weights: np.ndarray) -> list[bool]:
     n = len(page.blocks)
     if not n:
         return []
-    score = np.clip(features(page) @ weights, -4, 4)
+    score = np.clip(features(page) @ weights, -LIMIT, LIMIT)
     hubs: dict[int, int] = {}
     for b in page.blocks:
         c = b.container
@@ -318,7 +368,7 @@ def content(page: Page, weights: np.ndarray) -> list[bool]:
     source, sink = n + len(hubs), n + len(hubs) + 1
     flow = Flow(sink + 1)
     for i, b in enumerate(page.blocks):
-        s = float(score[i]) + STRUCTURE * 2 * page.meaning[b.container]
+        s = float(score[i]) + page.cost[b.container] * page.meaning[b.container]
         flow.join(source, i, max(s, 0.0), 0.0)
         flow.join(i, sink, max(-s, 0.0), 0.0)
         flow.join(i, hubs[b.container], PARENT, PARENT)

@@ -236,6 +236,33 @@ def test_extraction_leaves_out_what_is_not_the_article():
     assert extraction.main_text(page) == "Title & more\nFirst paragraph is long enough, indeed.\nSecond one here."
 
 
+STORY = "<h1>A title</h1><p>First paragraph is long enough, indeed it is.</p><p>Second one here, with some more words.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='has-sidebar'><nav><a href=/>Home</a></nav><div class='content with-sidebar'>{STORY}</div><footer>(c)</footer></body>",
+        f"<body class='sidebar'><article>{STORY}</article><aside>See also this</aside></body>",
+        f"<body><main class='site-main with-sidebar'>{STORY}</main></body>",
+        f"<body><main class='sidebar comments'>{STORY}</main></body>",
+        f"<body><article class='post share-enabled'>{STORY}</article></body>",
+        f"<body><div class='page sidebar'><div class=wrap><article>{STORY}</article></div></div><div class=comments><p>I like this a lot, thanks for sharing it.</p></div></body>",
+        f"<body><form id=form1 class=form><main>{STORY}</main></form></body>",
+        f"<body><article>{STORY}</article><div class=comments><article class=comment><p>I like this a lot.</p></article></div></body>",
+    ],
+)
+def test_extraction_keeps_the_text_of_named_wrappers(page):
+    assert extraction.main_text(page) == "A title\nFirst paragraph is long enough, indeed it is.\nSecond one here, with some more words."
+
+
+def test_extraction_weighs_class_words_against_the_text():
+    long = "It rained for most of the week. The river rose, and people carried sand to the bridge. Nobody was hurt. " * 3
+    assert extraction.main_text(f"<div class=notice><p>{long}</p><p>{long}</p></div>").count("river") == 6
+    assert extraction.main_text(f"<body class='has-sidebar'>{STORY}</body>") == extraction.main_text(f"<body>{STORY}</body>") != ""
+    assert extraction.main_text(f"<div hidden><p>{long}</p></div><div hidden><main>{long}</main></div>") == ""
+
+
 def test_flow_is_a_minimum_cut():
     r = random.Random(3)
     for _ in range(30):
