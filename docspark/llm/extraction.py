@@ -34,7 +34,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes svg math object canvas audio video select button xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes svg object canvas audio video select button xmp".split())
 TEXT_ONLY = frozenset("script style textarea title iframe noembed noframes xmp".split())
 NEGATIVE = frozenset("nav footer aside form menu dialog search header fieldset".split())
 POSITIVE = frozenset("article main".split())
@@ -80,6 +80,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[Block] = []
+        self.ends: dict[str, dict[int, int]] = {}
         self.parent, self.depth, self.own, self.header = [-1], [0], [NOTHING], [False]
         self._read(source)
         self._mean()
@@ -129,7 +130,7 @@ class Page:
                         break
                 continue
             if name in RAW:
-                at = self._skip(source, at, name)
+                at = self._skip(source, m.start(), at, name)
                 continue
             if name in VOID:
                 if name in BLOCKS:
@@ -151,27 +152,27 @@ class Page:
                 self.own.append(self._says(name, attributes))
                 self.header.append(name == "header")
                 stack.append((name, len(self.parent) - 1))
-            else:
+            elif name == "a" or not (m[3] or m[6] or "").endswith("/"):
                 anchors += name == "a"
                 stack.append((name, stack[-1][1]))
         for b in self.blocks:
             b.text = SPACES.sub(" ", html.unescape("".join(b.parts))).strip()
         self.blocks = [b for b in self.blocks if b.text]
 
-    @staticmethod
-    def _skip(source: str, at: int, name: str) -> int:
-        """Past the end of an element whose content isn't text of the page."""
+    def _skip(self, source: str, start: int, at: int, name: str) -> int:
+        """Past the end of an element whose content isn't text of the page; past its tag where it is closed at once or never."""
         if name in TEXT_ONLY:
             m = re.compile(rf"</{name}\s*[^>]*>", re.I).search(source, at)
             return m.end() if m else len(source)
-        depth, pattern = 1, re.compile(rf"<(/?){name}\b[^>]*>", re.I)
-        while depth:
-            m = pattern.search(source, at)
-            if not m:
-                return at if name in ("button", "select", "noscript", "object") else len(source)
-            depth += -1 if m[1] else 1
-            at = m.end()
-        return at
+        if name not in self.ends:  # the ends of all elements of the name, in one pass
+            ends, opened = self.ends.setdefault(name, {}), []
+            for m in re.finditer(rf"<(/?){name}(?=[\s/>])([^>]*)>", source, re.I):
+                if not m[1]:
+                    if not (name == "svg" and m[2].endswith("/")):
+                        opened.append(m.start())
+                elif opened:
+                    ends[opened.pop()] = m.end()
+        return max(at, self.ends[name].get(start, at))
 
     @staticmethod
     def _says(name: str, attributes: str) -> int:

@@ -263,6 +263,28 @@ def test_extraction_weighs_class_words_against_the_text():
     assert extraction.main_text(f"<div hidden><p>{long}</p></div><div hidden><main>{long}</main></div>") == ""
 
 
+@pytest.mark.parametrize(
+    ("inside", "shown"),
+    [
+        ("<svg class='icon'/>", ""),
+        ("<svg><svg/><text>no</text></svg>", ""),
+        ("<SVG><g>no</g></SVG>", ""),
+        ("<svg viewBox='0'>", ""),
+        ("<video src=x>", ""),
+        ("<canvas>", ""),
+        ("<template>", ""),
+        ("<audio><video>no</video>", ""),
+        ("<template><template>no</template>no</template>", ""),
+        ("<video-player>kept</video-player>", "kept"),
+        ("<math/>", ""),
+        ("<math><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></math>", "x=2"),
+    ],
+)
+def test_extraction_skips_no_text_after_embedded_elements(inside, shown):
+    page = f"<article><p>The icon {inside} stands before these words.</p><p>And this is the end of the text.</p></article>"
+    assert extraction.main_text(page) == re.sub(" +", " ", f"The icon {shown} stands before these words.\nAnd this is the end of the text.")
+
+
 def test_flow_is_a_minimum_cut():
     r = random.Random(3)
     for _ in range(30):
