@@ -2,9 +2,10 @@
 
 Tokens are a word and its prefixes.  Their log-odds between toxic and other
 documents come from corpus-wide counts of labelled documents, with an
-informative Dirichlet prior (all documents' rates), and shrink by their
-standard deviation.  One fold of the labelled documents, weighed by what the
-others tell, calibrates scores.  Near copies share one document's weight.  Every position scores the largest absolute of its word's
+informative Dirichlet prior (the rates in these labelled documents of either
+kind, not in the unlabelled ones), and shrink by their standard deviation.  One fold of the labelled documents, weighed by what the
+others tell, calibrates scores.  Near copies of one label share one document's
+weight.  Every position scores the largest absolute of its word's
 and prefixes' log-odds, less a drift; a linear-time scan finds all maximal
 scoring segments (Ruzzo and Tompa).  A segment's chance of as high a score in
 clean text of the same length follows a Gumbel law whose scale and search
@@ -21,6 +22,7 @@ a row each; a document with several labels is toxic if one says so.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -41,6 +43,8 @@ PRIOR, LEAST_DOCUMENTS = 10.0, 3
 SHRINK, DRIFT, LEAST_WEIGHT = 1.0, 0.15, 1.5
 #: Chance per document under which a segment is significant.
 SIGNIFICANT = 0.01
+#: Documents of one label are near copies if so many of their least shingle hashes are the same.
+MINIMA = 4
 #: Tokens of the model; the most telling ones stay (a documented bound of the classifier).
 MODEL_TOKENS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -193,17 +197,23 @@ def learned(doc_id) -> F.Column:
 
 
 def sketches(labelled: DataFrame) -> DataFrame:
-    """text, toxic, fold and the least hash of five-word shingles, which near copies mostly share."""
+    """text, toxic, fold and a hash of the MINIMA least hashes of five-word shingles, which near copies mostly share."""
 
     def run(batches):
         for whole in batches:
             for batch in shared.slices(whole, "text", 4 << 20):
-                least = [int(shared.signed(x[:1])[0]) if len(x) else 0 for x in neardup.shingle_sets(batch.column(0), 5)]
+                least = [int.from_bytes(hashlib.blake2b(x[:MINIMA].tobytes(), digest_size=8).digest(), "little", signed=True) for x in neardup.shingle_sets(batch.column(0), 5)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=[*batch.schema.names, "sketch"])
 
     return labelled.mapInArrow(run, "text string, toxic boolean, fold int, sketch bigint")
 
 
+def weighed(sketched: DataFrame) -> DataFrame:
+    """The rows and size, the number of near copies of the same label."""
+    groups = sketched.groupBy("sketch", "toxic").agg(F.count("*").cast("double").alias("copies")).filter("copies > 1")
+    return sketched.join(F.broadcast(groups), ["sketch", "toxic"], "left").withColumn("size", F.coalesce("copies", F.lit(1.0)))
+
+
 def train(docs: DataFrame, labels: DataFrame, scratch: shared.Scratch) -> tuple[Scorer | None, float]:
     """A scorer from the labelled documents that may be learned from, and the share of toxic ones."""
     told = labels.filter(F.col("toxic").isNotNull() & learned("doc_id")).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -215,8 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: shared.Scratch) -> tuple[
     chosen = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")
     fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3).cast("int")
     sketched = scratch.keep(sketches(chosen.select("text", "toxic", fold.alias("fold"))), "sketched")
-    groups = sketched.groupBy("sketch").agg(F.count("*").cast("double").alias("copies")).filter("copies > 1")
-    labelled = sketched.join(F.broadcast(groups), "sketch", "left").withColumn("size", F.coalesce("copies", F.lit(1.0)))
+    labelled = weighed(sketched)
     kinds = {(r["toxic"], r["fold"]): r["n"] for r in labelled.groupBy("toxic", "fold").agg(F.sum(1 / F.col("size")).alias("n")).collect()}
     number = lambda toxic, *folds: sum(kinds.get((toxic, f), 0) for f in folds)
     toxic, clean = number(True, 0, 1), number(False, 0, 1)

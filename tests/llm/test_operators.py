@@ -343,6 +343,18 @@ def test_toxicity_learns_and_holds_out(spark, scratch):
     assert toxicity.score(docs.filter("false"), told, shared.Scratch(spark, "t")).count() == 0
 
 
+def test_documents_with_a_common_passage_keep_their_weight(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(25))
+    rows = [(f"{passage} {' '.join(word() for _ in range(40))}", i % 2 == 0, 0) for i in range(200)]
+    rows += [(" ".join(rows[0][0].split()), True, 1), (rows[1][0], True, 0)]  # a copy of its label, and one of the other
+    sketched = toxicity.sketches(spark.createDataFrame(rows, "text string, toxic boolean, fold int"))
+    sizes = {(x["text"], x["toxic"]): x["size"] for x in toxicity.weighed(sketched).collect()}
+    assert sizes[rows[0][:2]] >= 2 and sizes[rows[1][:2]] == 1 and sizes[(rows[1][0], True)] == 1
+    assert sum(x == 1 for x in sizes.values()) > 190
+
+
 def plain_personal(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
