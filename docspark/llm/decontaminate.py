@@ -1,26 +1,32 @@
 """Operator 9: benchmark decontamination by winnowing.
 
-Of the hashes of all k-grams of words, the least of every w neighbours is
-kept, the last of equal ones.  Documents and benchmark items that share
-w + k - 1 words share a kept k-gram there, so joining the kept ones finds every
-shared window of ``WINDOW`` = w + k - 1 words.  Each hit is extended to both
-sides while the words agree.  Items of fewer words are one window each: for
-each such length all k-grams are kept (w = 1).
-
-The benchmark's fingerprints lie in index files of bounded size in the shared
-folder; tasks hold one at a time against a batch of documents, so neither the
-driver nor a broadcast grows with the benchmark, and the documents are read
-once and never shuffled.
+Of the hashes of all k-grams of words, the least of every w neighbours is the
+fingerprint of the window of ``WINDOW`` = w + k - 1 words around them.  Equal windows have equal fingerprints, so joining documents
+and benchmark on kept fingerprints finds every shared window.  A hit is
+extended to the windows that its fingerprint stands for: those whose hash of
+all WINDOW words is a benchmark window's are matches, and overlapping matches
+make one hit span.  Windows are compared as values and never place by place,
+so a word repeated n times in a document and in an item costs n and not n * n.
+Items of fewer words are one window each: for each such length all its k-grams
+are looked up.
+
+The benchmark becomes two tables of distinct windows: (words, window, set of
+items) and the items of each set, so a passage that many items share is one
+entry.  Up to ``INDEX_ROWS`` rows, which is checked, each task reads them from
+the shared folder and the documents go through one narrow pass.  Beyond, the
+documents' windows that pass a bit filter of bounded size are joined with the
+tables by shuffle; the benchmark's side is spread over ``SALTS`` copies of each
+key, so a window that a third of all documents hold isn't one task's.
 
 Null and empty texts have no words; items without words match nothing.
-Repeated items count once by their id; repeated documents each get a row.
+Repeated items count once by their id, whatever its type; repeated documents
+each get a row.  Very long texts are read whole, in time and memory
+proportional to their length.  Ties between fingerprints are one value.
 Empty tables give no rows, or no hits.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +36,14 @@ from . import shared
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
-#: Text bytes of the benchmark that one index file covers.
-BLOCK_BYTES = 16 << 20
+#: Rows of the index (windows, fingerprints and members of item sets; 8 to 20 bytes each) that a worker may hold.
+INDEX_ROWS = 4_000_000
+#: Bits of the filters beyond that, and copies of the benchmark's side of a join.
+FILTER_BITS, SALTS = 27, 16
 
 
-def winnow(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept k-grams of texts: their positions and hashes.
+def fingerprints(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows within a text, and each one's fingerprint.
 
     h: word hashes of all texts; begin: the words before each text, and in all.
     """
@@ -43,15 +51,11 @@ def winnow(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(grams) - W + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    least, where = grams[:n].copy(), np.zeros(n, np.int64)
+    least = grams[:n].copy()
     for i in range(1, W):
-        x = grams[i : i + n]
-        below = x <= least
-        least[below] = x[below]
-        where[below] = i
-    own = inside(begin, WINDOW, n)
-    at = np.unique((np.arange(n) + where)[own])
-    return at, grams[at]
+        np.minimum(least, grams[i : i + n], out=least)
+    starts = np.flatnonzero(inside(begin, WINDOW, n))
+    return starts, least[starts]
 
 
 def inside(begin: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -63,162 +67,263 @@ def inside(begin: np.ndarray, k: int, n: int) -> np.ndarray:
     return ok
 
 
+def among(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, -1)
+
+
+def looked_up(h: np.ndarray, begin: np.ndarray, sizes: list[int], known, window) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays (start, words, window hash, what ``window`` finds) of all windows that match.
+
+    known(fingerprints): whether the benchmark has them; window(words, hashes):
+    a number for each, or -1.
+    """
+    out = []
+    for n in sizes:
+        if n == WINDOW:
+            starts, prints = fingerprints(h, begin)
+            # neighbouring windows mostly have one fingerprint
+            new = np.ones(len(prints), bool)
+            new[1:] = prints[1:] != prints[:-1]
+            starts = starts[known(prints[new])[np.cumsum(new) - 1]] if len(prints) else starts
+            grams = shared.windows_at(h, n, starts)
+        else:
+            grams = shared.windows(h, n)
+            starts = np.flatnonzero(inside(begin, n, len(grams)))
+            grams = grams[starts]
+        found = window(n, grams)
+        on = found >= 0
+        out.append((starts[on], np.full(int(on.sum()), n), grams[on], found[on]))
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none.astype(np.uint64), none)
+
+
 class Index:
-    """Fingerprints of one block of the benchmark."""
-
-    def __init__(self, items: np.ndarray, h: np.ndarray, begin: np.ndarray):
-        self.items, self.h, self.begin = items, h, begin
-        size = np.diff(begin)
-        at, keys = winnow(h, begin)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], at[order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in range(1, WINDOW):
-            own = np.flatnonzero(size == n)
-            if len(own):
-                keys = shared.windows(h, n)[begin[own]]
-                order = np.argsort(keys, kind="stable")
-                self.short[n] = keys[order], own[order]
-
-    def save(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, items=self.items, h=self.h, begin=self.begin)
-        return out.getvalue()
+    """The benchmark's windows, fingerprints and item sets, from their tables."""
+
+    def __init__(self, folder: str):
+        import pyarrow.parquet as pq
+
+        def read(name: str) -> pa.Table:
+            system, path = shared.open_fs(f"{folder}/{name}")
+            return pq.read_table(path, filesystem=system)
+
+        windows, prints, sets = read("windows"), read("prints"), read("sets")
+        order = np.argsort(self.unsigned(prints, "print"), kind="stable")
+        self.prints = self.unsigned(prints, "print")[order]
+        words, hashes, own = windows["words"].to_numpy(), self.unsigned(windows, "window"), windows["set"].to_numpy()
+        self.by_words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(words).tolist():
+            at = np.flatnonzero(words == n)
+            at = at[np.argsort(hashes[at], kind="stable")]
+            self.by_words[n] = hashes[at], own[at]
+        self.sets = dict(zip(sets["set"].to_pylist(), sets["items"].to_pylist(), strict=True))
+        self.place = {s: i for i, s in enumerate(self.sets)}
+        self.names = list(self.sets)
+        self.by_words = {n: (keys, np.fromiter((self.place[s] for s in own.tolist()), np.int64, len(own))) for n, (keys, own) in self.by_words.items()}
+        self.unions: dict[tuple[int, ...], list[str]] = {}
 
     @staticmethod
-    def load(data: bytes) -> Index:
-        parts = np.load(io.BytesIO(data), allow_pickle=False)
-        return Index(parts["items"], parts["h"], parts["begin"])
-
-    def hits(self, h: np.ndarray, begin: np.ndarray):
-        """Arrays (document, first word, past-last word, item): maximal shared spans, words counted over all texts."""
-        found = []
-        if len(self.keys):
-            at, keys = winnow(h, begin)
-            a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-            on = np.flatnonzero(b > a)
-            if len(on):
-                p = np.repeat(at[on], b[on] - a[on])
-                q = self.at[shared.ragged(a[on], b[on] - a[on])]
-                doc = np.searchsorted(begin, p, "right") - 1
-                item = np.searchsorted(self.begin, q, "right") - 1
-                found.append(self.extend(h, begin, doc, item, p, q))
-        for n, (keys, own) in self.short.items():
-            grams = shared.windows(h, n)
-            if not len(grams):
-                continue
-            a, b = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
-            on = np.flatnonzero((b > a) & inside(begin, n, len(grams)))
-            p = np.repeat(on, b[on] - a[on])
-            item = own[shared.ragged(a[on], b[on] - a[on])]
-            found.append((np.searchsorted(begin, p, "right") - 1, p, p + n, item))
-        if not found:
-            none = np.empty(0, np.int64)
-            return none, none, none, none
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def extend(self, h, begin, doc, item, p, q):
-        """Grow k-gram hits while words agree; of hits on one diagonal and span only one stays."""
-        low, high = p.copy(), p + K
-        shift = q - p
-        going = np.arange(len(p))
-        while len(going):
-            to = low[going] - 1
-            ok = (to >= begin[doc[going]]) & (to + shift[going] >= self.begin[item[going]])
-            going, to = going[ok], to[ok]
-            same = h[to] == self.h[to + shift[going]]
-            going = going[same]
-            low[going] -= 1
-        going = np.arange(len(p))
-        while len(going):
-            to = high[going]
-            ok = (to < begin[doc[going] + 1]) & (to + shift[going] < self.begin[item[going] + 1])
-            going, to = going[ok], to[ok]
-            same = h[to] == self.h[to + shift[going]]
-            going = going[same]
-            high[going] += 1
-        # the first k words agree by hash of hashes; keep whole windows only
-        long = high - low >= WINDOW
-        spans = np.unique(np.stack([doc[long], low[long], high[long], item[long]], 1), axis=0)
-        return spans[:, 0], spans[:, 1], spans[:, 2], spans[:, 3]
-
-
-def index_benchmark(bench: DataFrame, scratch: shared.Scratch) -> list[str]:
-    """Write the benchmark's index files; their number follows its size."""
-    folder = scratch.path("index")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-
-    def build(batches):
-        from pyspark import TaskContext
-
-        items, texts = [], []
-        for batch in batches:
-            items += batch.column(0).to_pylist()
-            texts.append(batch.column(1))
-        if not items:
-            return
-        data, offsets = shared.text_bytes(pa.chunked_array(texts))
-        h, _, _, begin = shared.word_hashes(data, offsets, shared.ALPHANUMERIC)
-        path = f"{folder}/block-{TaskContext.get().partitionId():06d}.npz"
-        shared.write_whole(path, [Index(np.array(items, np.int64), h, begin).save()])
-        yield pa.RecordBatch.from_pydict({"path": [path]})
+    def unsigned(table: pa.Table, name: str) -> np.ndarray:
+        return np.ascontiguousarray(table[name].to_numpy()).view(np.uint64)
+
+    def known(self, prints: np.ndarray) -> np.ndarray:
+        return among(self.prints, prints) >= 0
+
+    def window(self, n: int, hashes: np.ndarray) -> np.ndarray:
+        keys, own = self.by_words[n]
+        at = among(keys, hashes)
+        return np.where(at >= 0, own[at], -1) if len(own) else at
 
-    rows = bench.filter("item_id is not null").select(F.col("item_id").cast("long"), "text")
-    written = scratch.keep(rows.repartition(blocks, "item_id").mapInArrow(build, "path string"), "blocks")
-    return sorted(r["path"] for r in written.collect())  # one row for each 16 MB of benchmark
+    def items(self, sets: tuple[int, ...]) -> list[str]:
+        """The items of some sets, sorted; unions that come again are remembered."""
+        if sets not in self.unions:
+            if len(self.unions) > 1000:
+                self.unions.clear()
+            self.unions[sets] = sorted(set().union(*(self.sets[self.names[s]] for s in sets)))
+        return self.unions[sets]
+
+
+def index_benchmark(bench: DataFrame, scratch: shared.Scratch) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """Tables windows (words, window, set), prints (print) and sets (set, items), and the sizes of windows."""
+
+    def cut(batches):
+        for whole in batches:
+            for batch in shared.slices(whole, "text", 4 << 20):
+                data, offsets = shared.text_bytes(batch.column(1))
+                h, _, _, begin = shared.word_hashes(data, offsets, shared.ALPHANUMERIC)
+                size = np.diff(begin)
+                starts, prints = fingerprints(h, begin)
+                parts = [(np.searchsorted(begin, starts, "right") - 1, np.full(len(starts), WINDOW), shared.windows_at(h, WINDOW, starts), prints)]
+                for n in range(1, WINDOW):
+                    own = np.flatnonzero(size == n)
+                    grams = shared.windows_at(h, n, begin[own])
+                    parts.append((own, np.full(len(own), n), grams, np.zeros(len(own), np.uint64)))
+                item, words, window, print_ = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(item)), pa.array(words.astype(np.int32)), pa.array(shared.signed(window)), pa.array(shared.signed(print_))],
+                    names=["item", "words", "window", "print"],
+                )
+
+    rows = bench.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    rows = scratch.keep(rows.mapInArrow(cut, "item string, words int, window bigint, print bigint").distinct(), "places")
+    named = rows.groupBy("words", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = scratch.keep(named.withColumn("set", F.sha2(F.to_json("items"), 256)), "named")
+    windows = scratch.keep(named.select("words", "window", "set"), "windows")
+    sets = scratch.keep(named.groupBy("set").agg(F.any_value("items").alias("items")), "sets")
+    prints = scratch.keep(rows.filter(F.col("words") == WINDOW).select("print").distinct(), "prints")
+    return windows, prints, sets, sorted(r["words"] for r in windows.select("words").distinct().collect())  # ten at most
 
 
 _loaded: dict[str, Index] = {}
 
 
-def load_index(path: str) -> Index:
+def load_index(folder: str) -> Index:
     """A worker keeps the index it used last."""
-    if path not in _loaded:
+    if folder not in _loaded:
         _loaded.clear()
+        _loaded[folder] = Index(folder)
+    return _loaded[folder]
+
+
+SPANS = "array<struct<first:int,last:int>>"
+
+
+def reported(batch: pa.RecordBatch, keep: tuple[str, ...], begin: np.ndarray, starts: np.ndarray, words: np.ndarray, items: list[list[str]]) -> pa.RecordBatch:
+    """The rows of a batch from its matching windows, whose words are counted over all its texts."""
+    mask = np.zeros(int(begin[-1]) + 1, np.int64)
+    np.add.at(mask, starts, 1)
+    np.add.at(mask, starts + words, -1)
+    hit = np.concatenate([[False], np.cumsum(mask[:-1]) > 0])
+    total = np.cumsum(hit)
+    # spans: where hit words begin and end, cut where a text begins
+    hit = hit[1:]
+    head = np.zeros(len(hit) + 1, bool)
+    head[begin] = True
+    head = head[:-1]
+    first = np.flatnonzero(hit & (head | ~np.concatenate([[False], hit[:-1]]))) if len(hit) else np.empty(0, np.int64)
+    last = np.flatnonzero(hit & np.concatenate([head[1:] | ~hit[1:], [True]])) + 1 if len(hit) else first
+    doc = np.searchsorted(begin, first, "right") - 1
+    count = np.bincount(doc, minlength=batch.num_rows)
+    spans = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)),
+        pa.StructArray.from_arrays([pa.array((first - begin[doc]).astype(np.int32)), pa.array((last - begin[doc]).astype(np.int32))], names=["first", "last"]),
+    )
+    kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+    return pa.RecordBatch.from_arrays(
+        [*kept, pa.array(np.diff(begin)), pa.array(total[begin[1:]] - total[begin[:-1]]), pa.array(items, pa.list_(pa.string())), spans], names=[*keep, "n_words", "n_hit", "items", "hits"]
+    )
+
+
+def contamination(docs: DataFrame, bench: DataFrame, scratch: shared.Scratch, keep: tuple[str, ...] = ("doc_id",), index_rows: int = INDEX_ROWS) -> DataFrame:
+    """docs' columns ``keep``, n_words, n_hit, items (distinct, as strings, sorted) and hits (maximal spans of hit words, last excluded)."""
+    windows, prints, sets, sizes = index_benchmark(bench, scratch)
+    rows = windows.count() + prints.count() + (sets.agg(F.sum(F.size("items"))).first()[0] or 0)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{kinds}, n_words bigint, n_hit bigint, items array<string>, hits {SPANS}"
+    columns = list(dict.fromkeys([*keep, "text"]))
+    if rows > index_rows:
+        return _by_shuffle(docs.select(*columns), windows, prints, sets, sizes, scratch, keep, schema)
+    folder = scratch.uri
+
+    def search(batches):
+        for whole in batches:
+            for batch in shared.slices(whole, "text", 4 << 20):
+                data, offsets = shared.text_bytes(batch.column(batch.schema.get_field_index("text")))
+                h, _, _, begin = shared.word_hashes(data, offsets, shared.ALPHANUMERIC)
+                index = load_index(folder)
+                starts, words, _, own = looked_up(h, begin, sizes, index.known, index.window)
+                both = np.unique(np.stack([np.searchsorted(begin, starts, "right") - 1, own], 1), axis=0)
+                items: list[list[str]] = [[] for _ in range(batch.num_rows)]
+                cuts = np.flatnonzero(np.diff(both[:, 0], prepend=-1, append=-1))
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    items[both[a, 0]] = index.items(tuple(both[a:b, 1].tolist()))
+                yield reported(batch, keep, begin, starts, words, items)
+
+    return docs.select(*columns).mapInArrow(search, schema)
+
+
+def bit_filter(df: DataFrame, column: str, scratch: shared.Scratch, name: str) -> str:
+    """A file of 2 ** FILTER_BITS bits, set where a value's upper bits point; its size doesn't grow with the table."""
+    path, number = scratch.path(f"{name}.bits"), FILTER_BITS
+    cells = df.select((F.shiftrightunsigned(column, 64 - number)).alias("cell")).distinct()
+
+    def fill(batches):
+        bits = np.zeros(1 << number, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy()] = True
+        shared.write_whole(path, [np.packbits(bits).tobytes()])
+        yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    # at most 2 ** FILTER_BITS distinct cells of 8 bytes go through one task, as a stream
+    scratch.keep(cells.coalesce(1).mapInArrow(fill, "path string"), f"{name}-bits")
+    return path
+
+
+_bits: dict[str, np.ndarray] = {}
+
+
+def passes(path: str, x: np.ndarray) -> np.ndarray:
+    if path not in _bits:
+        if len(_bits) > 1:
+            _bits.clear()
         system, place = shared.open_fs(path)
         with system.open_input_stream(place) as file:
-            _loaded[path] = Index.load(file.read())
-    return _loaded[path]
+            _bits[path] = np.frombuffer(file.read(), np.uint8)
+    number = (8 * len(_bits[path])).bit_length() - 1
+    cell = (x >> np.uint64(64 - number)).astype(np.int64)
+    return (_bits[path][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
 
 
-HITS = "array<struct<first:int,last:int,item_id:bigint>>"
+def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """A join whose left side may hold hot keys: each is dealt over SALTS tasks, to which the right side goes."""
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def contamination(docs: DataFrame, bench: DataFrame, scratch: shared.Scratch, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' columns ``keep``, n_words, n_hit, items (distinct, as strings, sorted) and hits (spans of words, last excluded)."""
-    paths = index_benchmark(bench, scratch)
+def _by_shuffle(docs, windows, prints, sets, sizes, scratch, keep, schema) -> DataFrame:
+    """contamination() where the benchmark is too large for a worker: a text's windows are joined by its digest."""
+    some_print, some_window = bit_filter(prints, "print", scratch, "prints"), bit_filter(windows, "window", scratch, "windows")
 
-    def search(batches):
+    def offer(batches):
         for whole in batches:
             for batch in shared.slices(whole, "text", 4 << 20):
-                data, offsets = shared.text_bytes(batch.column(batch.schema.get_field_index("text")))
+                data, offsets = shared.text_bytes(batch.column(1))
                 h, _, _, begin = shared.word_hashes(data, offsets, shared.ALPHANUMERIC)
-                mask = np.zeros(len(h) + 1, np.int64)
-                hits: dict[int, list[tuple[int, int, int]]] = {}
-                for path in paths if len(h) else []:
-                    index = load_index(path)
-                    doc, low, high, item = index.hits(h, begin)
-                    np.add.at(mask, low, 1)
-                    np.add.at(mask, high, -1)
-                    for d, a, b, i in zip(doc.tolist(), (low - begin[doc]).tolist(), (high - begin[doc]).tolist(), index.items[item].tolist(), strict=True):
-                        hits.setdefault(d, []).append((a, b, i))
-                total = np.concatenate([[0], np.cumsum(np.cumsum(mask[:-1]) > 0)])
-                rows = range(batch.num_rows)
-                items = [sorted({str(i) for _, _, i in hits[d]}) if d in hits else [] for d in rows]
-                spans = [[{"first": a, "last": b, "item_id": i} for a, b, i in sorted(hits[d])] if d in hits else [] for d in rows]
-                kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+                starts, words, grams, _ = looked_up(h, begin, sizes, lambda x: passes(some_print, x), lambda n, x: np.where(passes(some_window, x), 0, -1))
+                doc = np.searchsorted(begin, starts, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *kept, pa.array(np.diff(begin)), pa.array(total[begin[1:]] - total[begin[:-1]]), pa.array(items, pa.list_(pa.string())),
-                        pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item_id", pa.int64())]))),
-                    ],
-                    names=[*keep, "n_words", "n_hit", "items", "hits"],
-                )
+                    [batch.column(0).take(pa.array(doc)), pa.array((starts - begin[doc]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(shared.signed(grams))],
+                    names=["digest", "start", "words", "window"],
+                )
+
+    digest = F.md5("text")
+    offered = docs.filter("text is not null").select(digest.alias("digest"), "text").mapInArrow(offer, "digest string, start int, words int, window bigint").distinct()
+    hits = scratch.keep(spread(offered, windows, ["words", "window"], "digest").select("digest", "start", "words", "set"), "matches")
+    places = hits.groupBy("digest").agg(F.collect_set(F.struct("start", "words")).alias("places"))
+    named = spread(hits.select("digest", "set").distinct(), sets, ["set"], "digest").select("digest", F.explode("items").alias("item"))
+    named = named.groupBy("digest").agg(F.collect_set("item").alias("own"))
+    found = scratch.keep(places.join(named, "digest"), "found")
+    # docs' own columns under names that nothing here uses
+    aside = docs.toDF(*[f"_{i}_{c}" for i, c in enumerate(docs.columns)])
+    moved = dict(zip(docs.columns, aside.columns, strict=True))
+    aside = aside.withColumn("digest", F.md5(moved["text"])).withColumn("row", F.xxhash64(*[F.col(moved[c]) for c in docs.columns if c != "text"]))
+    both = spread(aside, found, ["digest"], "row", "left")
+
+    def finish(batches):
+        for whole in batches:
+            for batch in shared.slices(whole, "text", 4 << 20):
+                data, offsets = shared.text_bytes(batch.column(batch.schema.get_field_index("text")))
+                _, _, _, begin = shared.word_hashes(data, offsets, shared.ALPHANUMERIC)
+                own = [(int(begin[i]) + p["start"], p["words"]) for i, x in enumerate(batch.column(batch.num_columns - 2).to_pylist()) for p in x or ()]
+                at = np.array(own, np.int64).reshape(-1, 2)
+                yield reported(batch, keep, begin, at[:, 0], at[:, 1], [sorted(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()])
 
-    columns = list(dict.fromkeys([*keep, "text"]))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*columns).mapInArrow(search, f"{kinds}, n_words bigint, n_hit bigint, items array<string>, hits {HITS}")
+    ordered = both.select(*[F.col(moved[c]).alias(c) for c in docs.columns], F.col("places").alias("_places"), F.col("own").alias("_own"))
+    return ordered.mapInArrow(finish, schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

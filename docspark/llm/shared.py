@@ -23,6 +23,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file:///tmp/docspark-scratch"
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
@@ -185,6 +187,16 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(out + np.uint64(k))
 
 
+def windows_at(h: np.ndarray, k: int, starts: np.ndarray) -> np.ndarray:
+    """windows() at some starts alone."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(k):
+        out = out * _BASE + h[starts + i]
+        if i % 4 == 3:
+            out = mix64(out)
+    return mix64(out + np.uint64(k))
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string array; nulls count as empty."""
     import pyarrow as pa

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -414,35 +415,50 @@ def test_tagger_gradients():
 # ---- 9 and 10
 
 
-def test_decontamination(spark, data, edge_docs, no_docs, scratch):
+@pytest.mark.parametrize("index_rows", [decontaminate.INDEX_ROWS, 0])
+def test_decontamination(spark, data, edge_docs, no_docs, scratch, monkeypatch, index_rows):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 12)  # so that false positives of the filters occur
+    monkeypatch.setattr(decontaminate, "SALTS", 3)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
-    bench = spark.createDataFrame([(1, item), (1, item), (20, "one"), (3, None), (4, "..."), (5, "Same TEXT, here"), (7, "kappa lambda mu nu xi omicron pi rho sigma tau")], "item_id bigint, text string").withColumn("doc_id", F.lit(1))
-    bench = bench.unionByName(table(spark, data, "benchmark").select((F.col("item_id") + 100).alias("item_id"), "text"), allowMissingColumns=True)
+    bench = spark.createDataFrame([("gsm-1", item), ("gsm-1", item), ("20", "one"), ("3", None), ("4", "..."), ("5", "Same TEXT, here"), ("7", "kappa lambda mu nu xi omicron pi rho sigma tau"), (None, item)], "item_id string, text string").withColumn("doc_id", F.lit(1))
+    bench = bench.unionByName(table(spark, data, "benchmark").select((F.col("item_id") + 100).cast("string").alias("item_id"), "text"), allowMissingColumns=True)
     words = item.split()
-    odd = [(200, f"x {' '.join(words[1:11])} y"), (201, " ".join(words[:9])), (202, f"{item.upper()} nu xi omicron pi rho sigma tau"), (203, f"{item} {item}")]
+    odd = [(200, f"x {' '.join(words[1:11])} y"), (201, " ".join(words[:9])), (202, f"{item.upper()} nu xi omicron pi rho sigma tau"), (203, f"{item} {item}"), (202, "other text")]
     docs = edge_docs.select("doc_id", "text", F.lit(1).alias("hits")).unionByName(spark.createDataFrame(odd, "doc_id bigint, text string").withColumn("hits", F.lit(1)))
     docs = docs.unionByName(table(spark, data, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit(1).alias("hits")))
     split = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", lower(t))
     windows = collections.defaultdict(set)
-    for r in bench.collect():
+    for r in bench.filter("item_id is not null").collect():
         w = split(r["text"])
         k = min(10, len(w))
         for i in range(len(w) - k + 1 if w else 0):
-            windows[tuple(w[i : i + k])].add(str(r["item_id"]))
+            windows[tuple(w[i : i + k])].add(r["item_id"])
     sizes = {len(k) for k in windows}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    found = decontaminate.contamination(docs, bench, scratch).collect()
+    found = decontaminate.contamination(docs, bench, scratch, ("doc_id", "text"), index_rows).collect()
     assert len(found) == docs.count()
     for r in found:
-        w, hit, items = split(texts[r["doc_id"]]), set(), set()
+        w, hit, items = split(r["text"]), set(), set()
         for k in sizes:
             for i in range(len(w) - k + 1):
                 if own := windows.get(tuple(w[i : i + k])):
                     items |= own
                     hit.update(range(i, i + k))
         assert (r["n_words"], r["n_hit"], list(r["items"])) == (len(w), len(hit), sorted(items)), r["doc_id"]
-    assert decontaminate.contamination(no_docs, bench, shared.Scratch(spark, "t")).count() == 0
-    assert decontaminate.contamination(docs, bench.filter("false"), shared.Scratch(spark, "t")).filter("n_hit > 0").count() == 0
+        spans = [(x["first"], x["last"]) for x in r["hits"]]
+        assert {k for a, b in spans for k in range(a, b)} == hit and all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+    assert decontaminate.contamination(no_docs, bench, shared.Scratch(spark, "t"), index_rows=index_rows).count() == 0
+    assert decontaminate.contamination(docs, bench.filter("false"), shared.Scratch(spark, "t"), index_rows=index_rows - 1).filter("n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("index_rows", [decontaminate.INDEX_ROWS, 0])
+def test_decontamination_of_repeated_words_and_common_passages(spark, scratch, index_rows):
+    passage = " ".join(f"p{i}" for i in range(30))
+    bench = spark.createDataFrame([(0, "a " * 20_000), *[(1 + i, f"{passage} own{i}") for i in range(10_000)]], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a " * 20_000), (2, f"x {passage} y"), (3, f"{passage} own7"), (4, "a " * 9)], "doc_id bigint, text string")
+    began = time.monotonic()
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in decontaminate.contamination(docs, bench, scratch, index_rows=index_rows).collect()}
+    assert found == {1: (20_000, 20_000, 1), 2: (32, 30, 10_000), 3: (31, 31, 10_000), 4: (9, 0, 0)}
+    assert time.monotonic() - began < 60
 
 
 def plain_components(texts, k):
