@@ -10,13 +10,14 @@ so a word repeated n times in a document and in an item costs n and not n * n.
 Items of fewer words are one window each: for each such length all its k-grams
 are looked up.
 
-The benchmark becomes two tables of distinct windows: (words, window, set of
-items) and the items of each set, so a passage that many items share is one
-entry.  Up to ``INDEX_ROWS`` rows, which is checked, each task reads them from
-the shared folder and the documents go through one narrow pass.  Beyond, the
-documents' windows that pass a bit filter of bounded size are joined with the
-tables by shuffle; the benchmark's side is spread over ``SALTS`` copies of each
-key, so a window that a third of all documents hold isn't one task's.
+The benchmark becomes a table of distinct windows (item, words, window,
+fingerprint).  Up to ``INDEX_ROWS`` rows, which is checked, each task reads it
+from the shared folder and the documents go through one narrow pass; windows of
+the same items share one set of them, so a passage that many items hold is
+looked up once.  Beyond, the documents' windows that pass bit filters of
+bounded size are joined with the table by shuffle; the benchmark's side is
+spread over ``SALTS`` copies of each key, so a window that a third of all
+documents hold isn't one task's.
 
 Null and empty texts have no words; items without words match nothing.
 Repeated items count once by their id, whatever its type; repeated documents
@@ -36,8 +37,8 @@ from . import shared
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
-#: Rows of the index (windows, fingerprints and members of item sets; 8 to 20 bytes each) that a worker may hold.
-INDEX_ROWS = 4_000_000
+#: Rows of the benchmark's windows (some 40 bytes each) that a worker may hold.
+INDEX_ROWS = 2_000_000
 #: Bits of the filters beyond that, and copies of the benchmark's side of a join.
 FILTER_BITS, SALTS = 27, 16
 
@@ -102,53 +103,54 @@ def looked_up(h: np.ndarray, begin: np.ndarray, sizes: list[int], known, window)
 
 
 class Index:
-    """The benchmark's windows, fingerprints and item sets, from their tables."""
+    """The benchmark's windows, fingerprints and item sets, from the table of its windows."""
 
     def __init__(self, folder: str):
         import pyarrow.parquet as pq
 
-        def read(name: str) -> pa.Table:
-            system, path = shared.open_fs(f"{folder}/{name}")
-            return pq.read_table(path, filesystem=system)
-
-        windows, prints, sets = read("windows"), read("prints"), read("sets")
-        order = np.argsort(self.unsigned(prints, "print"), kind="stable")
-        self.prints = self.unsigned(prints, "print")[order]
-        words, hashes, own = windows["words"].to_numpy(), self.unsigned(windows, "window"), windows["set"].to_numpy()
-        self.by_words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in np.unique(words).tolist():
-            at = np.flatnonzero(words == n)
-            at = at[np.argsort(hashes[at], kind="stable")]
-            self.by_words[n] = hashes[at], own[at]
-        self.sets = dict(zip(sets["set"].to_pylist(), sets["items"].to_pylist(), strict=True))
-        self.place = {s: i for i, s in enumerate(self.sets)}
-        self.names = list(self.sets)
-        self.by_words = {n: (keys, np.fromiter((self.place[s] for s in own.tolist()), np.int64, len(own))) for n, (keys, own) in self.by_words.items()}
+        system, path = shared.open_fs(folder)
+        table = pq.read_table(path, filesystem=system).combine_chunks()
+        names = table["item"].unique().to_pylist()
+        self.names = sorted(names)
+        code = np.empty(len(names), np.int64)
+        code[np.argsort(np.array(names, object))] = np.arange(len(names))
+        item = code[table["item"].combine_chunks().dictionary_encode().indices.to_numpy()] if names else code
+        words, window, prints = table["words"].to_numpy(), table["window"].to_numpy().view(np.uint64), table["print"].to_numpy().view(np.uint64)
+        self.prints = np.unique(prints[words == WINDOW])
+        order = np.lexsort((item, window, words))
+        self.item, words, window = item[order], words[order], window[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (words[1:] != words[:-1]) | (window[1:] != window[:-1])
+        begin = np.flatnonzero(new)
+        count = np.diff(np.append(begin, len(order)))
+        # windows of the same items have one set of them
+        sums = np.add.reduceat(shared.mix64(self.item.astype(np.uint64) + np.uint64(1)), begin) if len(begin) else np.empty(0, np.uint64)
+        _, first, own = np.unique(shared.mix64(sums ^ shared.mix64(count.astype(np.uint64))), return_index=True, return_inverse=True)
+        self.begin, self.count = begin[first], count[first]
+        words, window = words[begin], window[begin]
+        self.by_words = {n: (window[words == n], own[words == n]) for n in np.unique(words).tolist()}
         self.unions: dict[tuple[int, ...], list[str]] = {}
 
-    @staticmethod
-    def unsigned(table: pa.Table, name: str) -> np.ndarray:
-        return np.ascontiguousarray(table[name].to_numpy()).view(np.uint64)
-
     def known(self, prints: np.ndarray) -> np.ndarray:
         return among(self.prints, prints) >= 0
 
     def window(self, n: int, hashes: np.ndarray) -> np.ndarray:
         keys, own = self.by_words[n]
         at = among(keys, hashes)
-        return np.where(at >= 0, own[at], -1) if len(own) else at
+        return np.where(at >= 0, own[at], -1)
 
     def items(self, sets: tuple[int, ...]) -> list[str]:
         """The items of some sets, sorted; unions that come again are remembered."""
         if sets not in self.unions:
             if len(self.unions) > 1000:
                 self.unions.clear()
-            self.unions[sets] = sorted(set().union(*(self.sets[self.names[s]] for s in sets)))
+            at = np.array(sets)
+            self.unions[sets] = [self.names[i] for i in np.unique(self.item[shared.ragged(self.begin[at], self.count[at])])]
         return self.unions[sets]
 
 
-def index_benchmark(bench: DataFrame, scratch: shared.Scratch) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
-    """Tables windows (words, window, set), prints (print) and sets (set, items), and the sizes of windows."""
+def benchmark_windows(bench: DataFrame) -> DataFrame:
+    """item, words, window, print: the distinct windows of items, with their fingerprints (0 for items that are one window)."""
 
     def cut(batches):
         for whole in batches:
@@ -160,8 +162,7 @@ def index_benchmark(bench: DataFrame, scratch: shared.Scratch) -> tuple[DataFram
                 parts = [(np.searchsorted(begin, starts, "right") - 1, np.full(len(starts), WINDOW), shared.windows_at(h, WINDOW, starts), prints)]
                 for n in range(1, WINDOW):
                     own = np.flatnonzero(size == n)
-                    grams = shared.windows_at(h, n, begin[own])
-                    parts.append((own, np.full(len(own), n), grams, np.zeros(len(own), np.uint64)))
+                    parts.append((own, np.full(len(own), n), shared.windows_at(h, n, begin[own]), np.zeros(len(own), np.uint64)))
                 item, words, window, print_ = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(item)), pa.array(words.astype(np.int32)), pa.array(shared.signed(window)), pa.array(shared.signed(print_))],
@@ -169,13 +170,7 @@ def index_benchmark(bench: DataFrame, scratch: shared.Scratch) -> tuple[DataFram
                 )
 
     rows = bench.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    rows = scratch.keep(rows.mapInArrow(cut, "item string, words int, window bigint, print bigint").distinct(), "places")
-    named = rows.groupBy("words", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    named = scratch.keep(named.withColumn("set", F.sha2(F.to_json("items"), 256)), "named")
-    windows = scratch.keep(named.select("words", "window", "set"), "windows")
-    sets = scratch.keep(named.groupBy("set").agg(F.any_value("items").alias("items")), "sets")
-    prints = scratch.keep(rows.filter(F.col("words") == WINDOW).select("print").distinct(), "prints")
-    return windows, prints, sets, sorted(r["words"] for r in windows.select("words").distinct().collect())  # ten at most
+    return rows.mapInArrow(cut, "item string, words int, window bigint, print bigint").distinct()
 
 
 _loaded: dict[str, Index] = {}
@@ -220,14 +215,13 @@ def reported(batch: pa.RecordBatch, keep: tuple[str, ...], begin: np.ndarray, st
 
 def contamination(docs: DataFrame, bench: DataFrame, scratch: shared.Scratch, keep: tuple[str, ...] = ("doc_id",), index_rows: int = INDEX_ROWS) -> DataFrame:
     """docs' columns ``keep``, n_words, n_hit, items (distinct, as strings, sorted) and hits (maximal spans of hit words, last excluded)."""
-    windows, prints, sets, sizes = index_benchmark(bench, scratch)
-    rows = windows.count() + prints.count() + (sets.agg(F.sum(F.size("items"))).first()[0] or 0)
+    places = scratch.keep(benchmark_windows(bench), "places")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kinds}, n_words bigint, n_hit bigint, items array<string>, hits {SPANS}"
     columns = list(dict.fromkeys([*keep, "text"]))
-    if rows > index_rows:
-        return _by_shuffle(docs.select(*columns), windows, prints, sets, sizes, scratch, keep, schema)
-    folder = scratch.uri
+    if places.count() > index_rows:
+        return _by_shuffle(docs.select(*columns), places, scratch, keep, schema)
+    folder = scratch.path("places")
 
     def search(batches):
         for whole in batches:
@@ -235,7 +229,7 @@ def contamination(docs: DataFrame, bench: DataFrame, scratch: shared.Scratch, ke
                 data, offsets = shared.text_bytes(batch.column(batch.schema.get_field_index("text")))
                 h, _, _, begin = shared.word_hashes(data, offsets, shared.ALPHANUMERIC)
                 index = load_index(folder)
-                starts, words, _, own = looked_up(h, begin, sizes, index.known, index.window)
+                starts, words, _, own = looked_up(h, begin, list(index.by_words), index.known, index.window)
                 both = np.unique(np.stack([np.searchsorted(begin, starts, "right") - 1, own], 1), axis=0)
                 items: list[list[str]] = [[] for _ in range(batch.num_rows)]
                 cuts = np.flatnonzero(np.diff(both[:, 0], prepend=-1, append=-1))
@@ -284,8 +278,13 @@ def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str
     return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def _by_shuffle(docs, windows, prints, sets, sizes, scratch, keep, schema) -> DataFrame:
+def _by_shuffle(docs, places, scratch, keep, schema) -> DataFrame:
     """contamination() where the benchmark is too large for a worker: a text's windows are joined by its digest."""
+    named = places.groupBy("words", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = scratch.keep(named.withColumn("set", F.sha2(F.to_json("items"), 256)), "named")
+    windows, prints = named.select("words", "window", "set"), places.filter(F.col("words") == WINDOW).select("print").distinct()
+    sets = scratch.keep(named.groupBy("set").agg(F.any_value("items").alias("items")), "sets")
+    sizes = sorted(r["words"] for r in windows.select("words").distinct().collect())  # ten at most
     some_print, some_window = bit_filter(prints, "print", scratch, "prints"), bit_filter(windows, "window", scratch, "windows")
 
     def offer(batches):
@@ -303,10 +302,10 @@ def _by_shuffle(docs, windows, prints, sets, sizes, scratch, keep, schema) -> Da
     digest = F.md5("text")
     offered = docs.filter("text is not null").select(digest.alias("digest"), "text").mapInArrow(offer, "digest string, start int, words int, window bigint").distinct()
     hits = scratch.keep(spread(offered, windows, ["words", "window"], "digest").select("digest", "start", "words", "set"), "matches")
-    places = hits.groupBy("digest").agg(F.collect_set(F.struct("start", "words")).alias("places"))
+    spots = hits.groupBy("digest").agg(F.collect_set(F.struct("start", "words")).alias("places"))
     named = spread(hits.select("digest", "set").distinct(), sets, ["set"], "digest").select("digest", F.explode("items").alias("item"))
     named = named.groupBy("digest").agg(F.collect_set("item").alias("own"))
-    found = scratch.keep(places.join(named, "digest"), "found")
+    found = scratch.keep(spots.join(named, "digest"), "found")
     # docs' own columns under names that nothing here uses
     aside = docs.toDF(*[f"_{i}_{c}" for i, c in enumerate(docs.columns)])
     moved = dict(zip(docs.columns, aside.columns, strict=True))
