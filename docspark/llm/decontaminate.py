@@ -272,12 +272,6 @@ def passes(path: str, x: np.ndarray) -> np.ndarray:
     return (_bits[path][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
 
 
-def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    """A join whose left side may hold hot keys: each is dealt over SALTS tasks, to which the right side goes."""
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
-
-
 def _by_shuffle(docs, places, scratch, keep, schema) -> DataFrame:
     """contamination() where the benchmark is too large for a worker: a text's windows are joined by its digest."""
     named = places.groupBy("words", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -301,16 +295,16 @@ def _by_shuffle(docs, places, scratch, keep, schema) -> DataFrame:
 
     digest = F.md5("text")
     offered = docs.filter("text is not null").select(digest.alias("digest"), "text").mapInArrow(offer, "digest string, start int, words int, window bigint").distinct()
-    hits = scratch.keep(spread(offered, windows, ["words", "window"], "digest").select("digest", "start", "words", "set"), "matches")
+    hits = scratch.keep(shared.spread(offered, windows, ["words", "window"], "digest", salts=SALTS).select("digest", "start", "words", "set"), "matches")
     spots = hits.groupBy("digest").agg(F.collect_set(F.struct("start", "words")).alias("places"))
-    named = spread(hits.select("digest", "set").distinct(), sets, ["set"], "digest").select("digest", F.explode("items").alias("item"))
+    named = shared.spread(hits.select("digest", "set").distinct(), sets, ["set"], "digest", salts=SALTS).select("digest", F.explode("items").alias("item"))
     named = named.groupBy("digest").agg(F.collect_set("item").alias("own"))
     found = scratch.keep(spots.join(named, "digest"), "found")
     # docs' own columns under names that nothing here uses
     aside = docs.toDF(*[f"_{i}_{c}" for i, c in enumerate(docs.columns)])
     moved = dict(zip(docs.columns, aside.columns, strict=True))
     aside = aside.withColumn("digest", F.md5(moved["text"])).withColumn("row", F.xxhash64(*[F.col(moved[c]) for c in docs.columns if c != "text"]))
-    both = spread(aside, found, ["digest"], "row", "left")
+    both = shared.spread(aside, found, ["digest"], "row", "left", SALTS)
 
     def finish(batches):
         for whole in batches:

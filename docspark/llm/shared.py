@@ -6,12 +6,19 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """A join whose left side may hold hot keys: each is dealt over ``salts`` tasks by column ``by``, and the right side's rows go to all of these."""
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 class Scratch:
     """A folder of its own below the cluster's shared folder.
 

@@ -501,17 +501,16 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("short_list", [48, 1])
-def test_near_duplicates(spark, edge_docs, monkeypatch, short_list):
-    monkeypatch.setattr(neardup, "SHORT_LIST", short_list)
-    monkeypatch.setattr(neardup, "BLOCK_DOCUMENTS", 7)
-    monkeypatch.setattr(neardup, "TASK_LINKS", 0 if short_list == 1 else 100_000)
+@pytest.mark.parametrize(("cell", "matches"), [(512, neardup.MATCHES), (2, 1)])
+def test_near_duplicates(spark, edge_docs, monkeypatch, cell, matches):
+    monkeypatch.setattr(neardup, "LIST", cell)
+    monkeypatch.setattr(neardup, "TASK_LINKS", 0 if cell == 2 else 100_000)
     rows = [(100 + i, t, -1) for i, t in enumerate(near_copies(9))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id int").repartition(3)
     docs = docs.unionByName(edge_docs.select("doc_id", "text", F.lit(-1).alias("component_id")))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     scratch = shared.Scratch(spark, "t")
-    found = neardup.near_duplicates(docs, scratch, 4).collect()
+    found = neardup.near_duplicates(docs, scratch, 4, matches).collect()
     assert len(found) == docs.count()
     want = plain_components(texts, 4)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
@@ -519,6 +518,41 @@ def test_near_duplicates(spark, edge_docs, monkeypatch, short_list):
     scratch.drop()
 
 
+def test_members_of_a_long_list_that_are_almost_alike(spark, scratch):
+    """Hundreds of documents of one template, below and at the threshold: a list that leaders don't contract."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    template = [word() for _ in range(70)]
+    rows = []
+    for i in range(400):
+        own = [word() for _ in range(r.choice([6, 8, 9, 12]))]
+        rows.append(" ".join([*template, *own]))
+        if i % 40 == 0:
+            rows.append(" ".join([*template, *own[:-1], word()]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(4)
+    found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(docs, scratch, 4).collect()}
+    assert found == plain_components(dict(enumerate(rows)), 4)
+
+
+def test_no_pair_at_the_threshold_is_lost():
+    """Sets of 9 * m shingles that share 8 * m: a similarity of exactly 0.8."""
+    r = np.random.default_rng(4)
+    for m in (1, 4, 20):
+        sets = []
+        for _ in range(4000):
+            x = r.integers(0, 1 << 63, 10 * m, dtype=np.uint64)
+            sets += [x[: 9 * m], x[m:]]
+        keys = neardup.signatures(sets)
+        assert ((keys[::2] == keys[1::2]).sum(1) >= neardup.MATCHES).all()
+
+
+def test_texts_of_one_id(spark, scratch):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, a), (2, b), (2, a), (2, None), (3, b), (None, b)], "doc_id bigint, text string")
+    found = sorted((x["doc_id"] or 0, x["n_shingles"], x["component_id"] or 0, x["kept"]) for x in neardup.near_duplicates(docs, scratch, 5).collect())
+    assert found == [(0, 26, 0, True), (1, 26, 1, True), *[(2, 26, 1, False)] * 3, (3, 26, 3, True)]
+
+
 def test_near_duplicates_of_nothing(spark, no_docs):
     assert neardup.near_duplicates(no_docs, shared.Scratch(spark, "t"), 4).count() == 0
 
