@@ -3,11 +3,13 @@
 Tokens are a word and its prefixes.  Their log-odds between toxic and other
 documents come from corpus-wide counts of labelled documents, with an
 informative Dirichlet prior (the rates in these labelled documents of either
-kind, not in the unlabelled ones), and shrink by their standard deviation.  One fold of the labelled documents, weighed by what the
-others tell, calibrates scores.  Near copies of one label share one document's
-weight.  Every position scores the largest absolute of its word's
+kind, not in the unlabelled ones), and shrink by their standard deviation.  One
+fold of the labelled documents, weighed by what the others tell, calibrates
+scores.  Near copies of one label share one document's weight.  Every position
+scores the largest absolute of its word's
 and prefixes' log-odds, less a drift; a linear-time scan finds all maximal
-scoring segments (Ruzzo and Tompa).  A segment's chance of as high a score in
+scoring segments (Ruzzo and Tompa), each candidate linked with the nearest one
+to its left that begins at a smaller sum.  A segment's chance of as high a score in
 clean text of the same length follows a Gumbel law whose scale and search
 constant are fitted to clean labelled documents; the significant ones add up to
 a document's evidence, and a logistic curve fitted to the labelled documents
@@ -17,7 +19,9 @@ Labels are learned from rows whose crc32(doc_id as text) mod 4 isn't 2; labels,
 lang, source and doc_id are no inputs of a score.  Null and empty texts have
 no segment and get the score of no evidence.  Without labels of both kinds
 every score is the share of toxic labels (0 without labels).  Repeated rows get
-a row each; a document with several labels is toxic if one says so.
+a row each; a document with several labels is toxic if one says so.  Very long
+texts are scored whole; of segments with equal sums the earlier begins stay.
+Empty tables give no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +47,9 @@ PRIOR, LEAST_DOCUMENTS = 10.0, 3
 SHRINK, DRIFT, LEAST_WEIGHT = 1.0, 0.15, 1.5
 #: Chance per document under which a segment is significant.
 SIGNIFICANT = 0.01
+LOG_SIGNIFICANT = math.log(SIGNIFICANT)
 #: Documents of one label are near copies if so many of their least shingle hashes are the same.
 MINIMA = 4
-#: Tokens of the model; the most telling ones stay (a documented bound of the classifier).
-MODEL_TOKENS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -79,14 +82,14 @@ def counted(labelled: DataFrame) -> DataFrame:
 
 
 def log_odds(counts: DataFrame, toxic: float, clean: float) -> dict[str, float]:
-    """Shrunk log-odds of the tokens that tell, at most MODEL_TOKENS. counts: token, toxic, clean."""
+    """Shrunk log-odds of all tokens that tell; LABELLED bounds the texts that they come from. counts: token, toxic, clean."""
     alpha = PRIOR * (F.col("toxic") + F.col("clean") + 0.5) / (toxic + clean + 1) + 0.5
     a, b = F.col("toxic") + alpha, F.col("clean") + alpha
     odds = F.log(a / (toxic + PRIOR + 1 - a)) - F.log(b / (clean + PRIOR + 1 - b))
     weight = F.signum(odds) * F.greatest(F.abs(odds) - SHRINK * F.sqrt(1 / a + 1 / b), F.lit(0.0))
     often = (F.col("toxic") >= LEAST_DOCUMENTS) | (F.col("clean") >= 20 * LEAST_DOCUMENTS)
     told = counts.filter(often).select("token", weight.alias("weight")).filter((F.col("weight") > LEAST_WEIGHT) | (F.col("weight") < -1))
-    told = told.orderBy(F.abs("weight").desc(), "token").limit(MODEL_TOKENS).toPandas()
+    told = told.toPandas()
     return dict(zip(told["token"], told["weight"], strict=True))
 
 
@@ -127,19 +130,21 @@ class Scorer:
         if not len(at):
             return [], len(words)
         sums = np.concatenate([[0.0], np.cumsum(x)])
-        found: list[list[float]] = []  # first, past-last, sum before, sum after
+        # first, past-last, sum before, sum after, and the last candidate to the left whose sum before is less
+        found: list[tuple[int, int, float, float, int]] = []
         for i, before, after in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist(), strict=True):
-            new = [i, i + 1, before, after]
+            first = i
+            j = len(found) - 1
             while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or found[j][3] >= new[3]:
-                    found.append(new)
+                while j >= 0 and found[j][2] >= before:
+                    j = found[j][4]
+                if j < 0 or found[j][3] >= after:
+                    found.append((first, i + 1, before, after, j))
                     break
-                new = [found[j][0], new[1], found[j][2], new[3]]
+                first, _, before, _, left = found[j]
                 del found[j:]
-        return [(int(a), int(b), r - l) for a, b, l, r in found], len(words)
+                j = left
+        return [(a, b, r - l) for a, b, l, r, _ in found], len(words)
 
     def evidence(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """-log of the least chance, summed over the significant segments; and these."""
@@ -147,11 +152,12 @@ class Scorer:
         total, kept = 0.0, []
         for a, b, score in found:
             # P(max > score) = 1 - exp(-K n exp(-scale * score))
-            expected = self.constant * max(n, 1) * math.exp(-min(700.0, self.scale * score))
-            chance = -math.expm1(-expected)
-            if chance < SIGNIFICANT:
+            log_expected = math.log(self.constant * max(n, 1)) - self.scale * score
+            # for small chances the expected number is the chance, and its logarithm has no bound
+            log_chance = log_expected if log_expected < -20 else math.log(-math.expm1(-math.exp(min(log_expected, 700.0))))
+            if log_chance < LOG_SIGNIFICANT:
                 kept.append((a, b, score))
-                total += min(50.0, -math.log(max(chance, 1e-300)))
+                total -= log_chance
         return total, kept
 
     def score(self, evidence: float) -> float:
@@ -160,20 +166,24 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def gumbel(maxima: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
-    """Scale and constant of clean documents' largest segments.
+def gumbel(maxima: np.ndarray, number: np.ndarray, words: float) -> tuple[float, float]:
+    """Scale and constant of clean documents' largest segments, from a histogram.
 
-    Clean documents whose largest segment is 0 bound the tail from below; the
-    scale is that of the excesses over the median of the positive ones.
+    maxima: scores, in any order; number: documents of each; words: of all
+    clean documents.  Those whose largest segment is 0 bound the tail from
+    below; the scale is that of the excesses over the median of the positive
+    ones.
     """
-    positive = maxima[maxima > 0]
-    if len(positive) < 20:
+    on = maxima > 0
+    order = np.argsort(maxima[on], kind="stable")
+    x, n = maxima[on][order], number[on][order].astype(float)
+    if n.sum() < 20:
         return 1.0, 0.05
-    level = float(np.quantile(positive, 0.5))
-    excess = positive[positive > level] - level
-    scale = 1.0 / max(1e-3, float(excess.mean())) if len(excess) else 1.0
+    level = float(x[np.searchsorted(np.cumsum(n), n.sum() / 2)])
+    above = x > level
+    scale = 1.0 / max(1e-3, float(np.average(x[above] - level, weights=n[above]))) if above.any() else 1.0
     # expected number above the level per word = K exp(-scale * level)
-    share = float((maxima > level).sum()) / max(1.0, float(sizes.sum()))
+    share = float(n[above].sum()) / max(1.0, words)
     return scale, max(1e-9, share * math.exp(min(500.0, scale * level)))
 
 
@@ -252,8 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: shared.Scratch) -> tuple[
     tops = calibration.select("text", "toxic").mapInArrow(largest, "toxic boolean, words bigint, top double").withColumn("bin", F.round(F.col("top"), 1))
     # a histogram: bins of 0.1 of scores that the weights bound
     tops = tops.filter("not toxic").groupBy("bin").agg(F.count("*").alias("n"), F.sum("words").alias("words")).toPandas()
-    maxima = np.repeat(tops["bin"].to_numpy(), np.minimum(tops["n"], 1_000_000)) if len(tops) else np.empty(0)
-    scorer.scale, scorer.constant = gumbel(maxima, tops["words"].to_numpy() if len(tops) else np.zeros(1))
+    scorer.scale, scorer.constant = gumbel(tops["bin"].to_numpy(float), tops["n"].to_numpy(float), float(tops["words"].sum()))
     form = (scorer.scale, scorer.constant)
 
     def weigh(batches):
