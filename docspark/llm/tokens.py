@@ -2,27 +2,33 @@
 
 Texts are encoded by the public tokenizer's own model.  Ids of a shard are
 stored in blocks of ``BLOCK`` ids, each id in as few bits as the vocabulary
-needs; the header lists where each block begins, so any range of ids is read
+needs; the footer lists where each block begins, so any range of ids is read
 without the rest.
 
 File layout, little-endian::
 
-    8 bytes  magic  b"DSPKIDS1"
+    8 bytes  magic  b"DSPKIDS2"
     u32      bits per id
     u32      ids per block (a multiple of 64)
+    words    u64 words; id i of a block fills bits i*bits .. of its word string
+    u64[]    byte offset of every block
     u64      number of ids
     u64      number of blocks
-    u64[]    byte offset of every block from the end of the header
-    words    u64 words; id i of a block fills bits i*bits .. of its word string
+    8 bytes  magic
 
-Nulls and empty texts give the end id alone.  Repeated rows are encoded each
-on its own.  Extra input columns are ignored, whatever their names.
+The offsets come last, so a shard is written as its ids come and no task holds
+more than a slice of them.  Nulls and empty texts give the end id alone.  Very
+long texts are encoded whole.  Repeated rows are encoded each on its own; rows
+of one doc_id are ordered by text.  Empty tables give no shard and no rows.
+Extra input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +39,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-MAGIC = b"DSPKIDS1"
+MAGIC = b"DSPKIDS2"
 BLOCK = 4096
+#: Ids after which a task begins another shard (256 MB of 16-bit ids); shards up to which their table is broadcast.
+SHARD_IDS, BROADCAST_SHARDS = 1 << 27, 200_000
 #: Entries that a worker remembers at most; the memory is emptied when full.
 REMEMBERED = 300_000
 #: Kinds of bytes: white space 0, letters (all beyond ASCII) 1, digits 2, other signs 3.
@@ -103,8 +111,7 @@ class Encoder:
     many texts are found and told apart by array operations (by 64-bit hashes);
     the library's model encodes each one that the worker doesn't remember.
     Texts with other non-ASCII signs than letters are split one by one, those
-    with rare white space by the library itself.  Strings of special tokens are
-    ordinary text.
+    with rare white space or an added token's string by the library itself.
     """
 
     #: The documented split of byte-level BPE into pre-tokens (fixed value).
@@ -115,14 +122,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.split = regex.compile(self.SPLIT).findall
         self.known: dict[int, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.letters = self._byte_letters()
-        self.plain = self._has_plain_splits()
+        form = json.loads(self.tokenizer.to_str())
+        self.plain = self._has_plain_splits(form)
+        #: Texts that only the library encodes.
+        self.rare = "|".join([RARE_SPACE, *(re.escape(x["content"]) for x in form.get("added_tokens") or () if x["content"])])
 
     @staticmethod
     def _byte_letters() -> dict[int, str]:
@@ -131,9 +140,9 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(own)]
         return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
-    def _has_plain_splits(self) -> bool:
+    @staticmethod
+    def _has_plain_splits(form: dict) -> bool:
         """Whether pieces may be encoded alone: byte-level BPE with the documented split and nothing else."""
-        form = json.loads(self.tokenizer.to_str())
         pre, model = form.get("pre_tokenizer") or {}, form["model"]
         split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         return split and form.get("normalizer") is None and model["type"] == "BPE" and not model.get("ignore_merges") and not model.get("dropout")
@@ -153,7 +162,7 @@ class Encoder:
         return b"".join(out)
 
     def _whole(self, text: str, rare: bool) -> bytes:
-        """A text with other signs beyond ASCII; one with rare white space is left to the library."""
+        """A text with other signs beyond ASCII; a rare one is left to the library."""
         if rare:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self._one(text)
@@ -167,7 +176,8 @@ class Encoder:
             counts = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
         texts = texts.cast(pa.large_string())
-        odd = pc.match_substring_regex(texts, r"[^\x00-\x1b\x20-\x7f\p{L}]").to_numpy(zero_copy_only=False)
+        rare = pc.match_substring_regex(texts, self.rare).to_numpy(zero_copy_only=False)
+        odd = rare | pc.match_substring_regex(texts, r"[^\x00-\x1b\x20-\x7f\p{L}]").to_numpy(zero_copy_only=False)
         plain_rows, odd_rows = np.flatnonzero(~odd), np.flatnonzero(odd)
         plain = texts.filter(pa.array(~odd)) if len(odd_rows) else texts
         data, offsets = shared.text_bytes(plain)
@@ -190,7 +200,6 @@ class Encoder:
             table[i] = known[key] = PACK[len(found)](*[x.id for x in found]) if len(found) < 64 else np.array([x.id for x in found], "<u4").tobytes()
         begin_odd = len(table)
         if len(odd_rows):
-            rare = pc.match_substring_regex(texts, RARE_SPACE).to_numpy(zero_copy_only=False)
             table += [self._whole(texts[int(i)].as_py(), bool(rare[i])) for i in odd_rows]
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
         pool = np.frombuffer(b"".join(table), "<u4")
@@ -272,21 +281,40 @@ def unpack(data, bits: int, count: int) -> np.ndarray:
     return out.reshape(-1)[:count]
 
 
-def shard_parts(ids: list[np.ndarray], bits: int, block: int = BLOCK):
-    """The byte strings of a shard's file: the header, then the blocks."""
-    total = sum(map(len, ids))
-    blocks = -(-total // block)
-    full = block // 64 * bits * 8
-    yield struct.pack("<8sIIQQ", MAGIC, bits, block, total, blocks) + (np.arange(blocks, dtype="<u8") * full).tobytes()
-    rest: np.ndarray = np.empty(0, np.uint32)
-    for part in ids:
-        rest = np.concatenate([rest, part]) if len(rest) else part
-        whole = len(rest) // block * block
+class ShardWriter:
+    """Write ids as they come; the file appears under its name when closed."""
+
+    def __init__(self, uri: str, bits: int, block: int = BLOCK):
+        self.system, self.path = shared.open_fs(uri)
+        self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.own = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.system.open_output_stream(self.own)
+        self.bits, self.block, self.total, self.written = bits, block, 0, 0
+        self.offsets: list[np.ndarray] = []
+        self.rest = np.empty(0, np.uint32)
+        self._put(struct.pack("<8sII", MAGIC, bits, block))
+
+    def _put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.written += len(data)
+
+    def add(self, ids: np.ndarray) -> None:
+        self.total += len(ids)
+        ids = np.concatenate([self.rest, ids]) if len(self.rest) else ids
+        whole = len(ids) // self.block
         if whole:
-            yield pack(rest[:whole], bits)
-            rest = rest[whole:]
-    if len(rest):
-        yield pack(rest, bits)
+            self.offsets.append(self.written + np.arange(whole) * (self.block // 64 * self.bits * 8))
+            self._put(pack(ids[: whole * self.block], self.bits))
+        self.rest = ids[whole * self.block :].copy()
+
+    def close(self) -> None:
+        if len(self.rest):
+            self.offsets.append(np.array([self.written]))
+            self._put(pack(self.rest, self.bits))
+        offsets = np.concatenate(self.offsets) if self.offsets else np.empty(0, np.int64)
+        self._put(offsets.astype("<u8").tobytes() + struct.pack("<QQ8s", self.total, len(offsets), MAGIC))
+        self.out.close()
+        self.system.move(self.own, self.path)
 
 
 class Shard:
@@ -295,12 +323,14 @@ class Shard:
     def __init__(self, uri: str):
         system, path = shared.open_fs(uri)
         self.file = system.open_input_file(path)
-        magic, self.bits, self.block, self.total, blocks = struct.unpack("<8sIIQQ", self.file.read(32))
-        if magic != MAGIC:
+        magic, self.bits, self.block = struct.unpack("<8sII", self.file.read(16))
+        self.file.seek(self.file.size() - 24)
+        self.total, blocks, end = struct.unpack("<QQ8s", self.file.read(24))
+        if magic != MAGIC or end != MAGIC:
             raise ValueError(f"{uri} isn't a shard of ids")
+        self.end = self.file.size() - 24 - 8 * blocks
+        self.file.seek(self.end)
         self.offsets = np.frombuffer(self.file.read(8 * blocks), "<u8")
-        self.base = 32 + 8 * blocks
-        self.size = self.file.size()
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop, from the blocks that hold them."""
@@ -309,18 +339,19 @@ class Shard:
             return np.empty(0, np.uint32)
         a, b = start // self.block, -(-stop // self.block)
         lo = int(self.offsets[a])
-        hi = int(self.offsets[b]) if b < len(self.offsets) else self.size - self.base
-        self.file.seek(self.base + lo)
+        hi = int(self.offsets[b]) if b < len(self.offsets) else self.end
+        self.file.seek(lo)
         ids = unpack(self.file.read(hi - lo), self.bits, min(b * self.block, self.total) - a * self.block)
         return ids[start - a * self.block : stop - a * self.block]
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int | None = 0, partitions: int | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int | None = 0, partitions: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into shards in ascending doc_id order.
 
     Returns (shard, path, doc_id, local, n): where each document's ids are.
-    Calls with the same rows write the same files; the returned frame is lazy,
-    so keep() it before use.
+    A task writes its ids as they come and begins another shard after about
+    ``shard_ids`` of them.  Calls with the same rows write the same files; the
+    returned frame is lazy, so keep() it before use.
     """
     path = vocabulary or vocabulary_path()
     docs = docs.select("doc_id", "text")
@@ -329,43 +360,45 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end_i
     def write(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        parts, docs_of, counts = [], [], []
-        size = 0
-        for found, ids, number in encode_batches(batches, path, end_id):
-            dtype = np.uint16 if encoder(path).vocabulary <= 1 << 16 else np.uint32
-            parts.append(ids.astype(dtype))
-            docs_of.append(found)
-            counts.append(number)
-            size += len(ids)
-        if not docs_of:
-            return
-        uri = f"{folder}/shard-{shard:06d}.ids"
-        shared.write_whole(uri, shard_parts(parts, bits_for(encoder(path).vocabulary)))
-        at = 0
-        for found, number in zip(docs_of, counts, strict=True):
-            before = at + np.cumsum(number) - number
-            at += int(number.sum())
-            k = len(number)
+        part, number = TaskContext.get().partitionId(), 0
+        writer = None
+        for found, ids, counts in encode_batches(batches, path, end_id):
+            if writer is not None and writer.total >= shard_ids:
+                writer.close()
+                writer, number = None, number + 1
+            uri = f"{folder}/shard-{part:06d}-{number:06d}.ids"
+            if writer is None:
+                writer = ShardWriter(uri, bits_for(encoder(path).vocabulary))
+            before = writer.total + np.cumsum(counts) - counts
+            writer.add(ids)
+            k = len(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, shard, np.int32)), pa.array([uri] * k), found.cast(pa.int64()), pa.array(before.astype(np.int64)), pa.array(number.astype(np.int64))],
+                [pa.array(np.full(k, part << 32 | number, np.int64)), pa.array([uri] * k), found.cast(pa.int64()), pa.array(before.astype(np.int64)), pa.array(counts.astype(np.int64))],
                 names=["shard", "path", "doc_id", "local", "n"],
             )
+        if writer is not None:
+            writer.close()
 
-    return ordered.mapInArrow(write, "shard int, path string, doc_id bigint, local bigint, n bigint")
+    return ordered.mapInArrow(write, "shard bigint, path string, doc_id bigint, local bigint, n bigint")
 
 
 def read_ids(index: DataFrame) -> DataFrame:
     """Read documents back from their shards: the index's columns, start, and ids as binary (u32).
 
-    Every shard is one row of a small table (its number of ids and of
-    documents), from which the ids before each shard follow.
+    Every shard is one row of a small table, from which the ids before it
+    follow: those of earlier tasks, and those of the task's earlier shards.
     """
     from pyspark.sql import Window
 
-    shards = index.groupBy("shard").agg(F.sum("n").alias("total"))
-    before = shards.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    placed = index.join(F.broadcast(before), "shard").withColumn("start", F.col("base") + F.col("local")).drop("base")
+    task = F.shiftright("shard", 32)
+    shards = index.groupBy("shard").agg(F.sum("n").alias("total")).withColumn("task", task)
+    # one row a task goes through the ordered window; shards are summed within their task
+    tasks = shards.groupBy("task").agg(F.sum("total").alias("all"))
+    tasks = tasks.select("task", (F.sum("all").over(Window.orderBy("task")) - F.col("all")).alias("earlier"))
+    own = F.sum("total").over(Window.partitionBy("task").orderBy("shard")) - F.col("total")
+    before = shards.withColumn("own", own).join(tasks, "task").select("shard", (F.col("earlier") + F.col("own")).alias("base"))
+    some = F.broadcast(before) if index.select("shard").distinct().count() <= BROADCAST_SHARDS else before
+    placed = index.join(some, "shard").withColumn("start", F.col("base") + F.col("local")).drop("base")
 
     def read(batches):
         current, shard = None, None
@@ -391,7 +424,7 @@ def read_ids(index: DataFrame) -> DataFrame:
                 )
                 k = e
 
-    return placed.mapInArrow(read, "shard int, path string, doc_id bigint, local bigint, n bigint, start bigint, ids binary")
+    return placed.mapInArrow(read, "shard bigint, path string, doc_id bigint, local bigint, n bigint, start bigint, ids binary")
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
