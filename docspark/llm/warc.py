@@ -11,15 +11,18 @@ file, or for each byte range of a large one that has an index beside it; takes
 records; parses a record's headers first; and skips the bytes of payloads that
 no predicate or column asks for.
 
-Nulls and empty texts have empty payloads.  Ties in page_id among equal
-payloads (repeated rows) are all responses.  A null page_id makes a response
-without an id.  Empty tables give no records.  Extra columns are ignored.
+Nulls and empty texts have empty payloads.  Very long ones are records like
+others.  Ties in page_id among equal payloads (repeated rows) are all
+responses.  A null page_id makes a response without an id.  Empty tables give
+no records.  Extra columns are ignored.  A file that ends within a record is an
+error.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -32,6 +35,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from . import shared
 
 LEAST_BYTES = 1000
+#: Digests of repeated payloads (some 60 bytes each) that may be broadcast; beyond, pages are joined with them by shuffle.
+BROADCAST_DIGESTS = 500_000
 #: Bytes of a file that one partition reads, if the file has an index.
 SPLIT_BYTES = 64 << 20
 #: The record's columns: name, header that it comes from.
@@ -47,11 +52,13 @@ EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 # ---- writing
 
 
-def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: shared.Scratch, least: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, refers_to: what kind of record each page becomes.
 
-    Only digests and ids are shuffled; digests that occur once, most of them,
-    never leave the aggregation.
+    Only digests and ids are shuffled, counted before they are: digests that
+    occur once, most of them, never leave the aggregation.  Pages themselves
+    stay where they are unless there are too many repeated digests to
+    broadcast; a digest that a third of all pages have is then many tasks'.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     sized = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
@@ -59,7 +66,11 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
         sized.filter(F.col("payload_bytes") >= least).groupBy("payload_digest")
         .agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
-    joined = sized.join(first, "payload_digest", "left")
+    first = scratch.keep(first, "repeated")
+    if first.count() <= BROADCAST_DIGESTS:
+        joined = sized.join(F.broadcast(first), "payload_digest", "left")
+    else:
+        joined = shared.spread(sized, first, ["payload_digest"], "page_id", "left")
     revisit = (F.col("payload_bytes") >= least) & (F.col("page_id") < F.col("response_id"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, F.col("response_id")).alias("refers_to"))
 
@@ -82,18 +93,22 @@ def zipped(data: bytes, level: int) -> bytes:
 
 
 def write_warc(records: DataFrame, folder: str, level: int = 1, file_bytes: int = 256 << 20) -> DataFrame:
-    """Write plan_records() rows as .warc.gz files; returns (path, records, bytes), lazily."""
+    """Write plan_records() rows as .warc.gz files; returns (path, records, bytes), lazily.
+
+    Every attempt of a task has files of its own, so the kept table of paths
+    names each record once; files of attempts that were lost stay unread.
+    """
 
     def write(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         held: list[bytes] = []
         size = count = number = 0
 
         def close():
             nonlocal size, count, number
-            path = f"{folder}/part-{part:06d}-{number:04d}.warc.gz"
+            path = f"{folder}/part-{part:06d}-{number:04d}-{attempt}.warc.gz"
             shared.write_whole(path, held)
             row = pa.RecordBatch.from_pydict({"path": [path], "records": [count], "bytes": [size]})
             held.clear()
@@ -164,7 +179,7 @@ def fields(headers: dict[str, str]) -> dict[str, str | None]:
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.paths = [p for p in options["paths"].split("\n") if p] if "paths" in options else list_files(options["path"])
+        self.paths = listed(options["manifest"]) if "manifest" in options else list_files(options["path"])
         self.payloads = options.get("payloads", "true").lower() == "true"
         self.verify = options.get("verify", "true").lower() == "true"
         self.wanted: list[tuple[str, frozenset]] = []
@@ -226,7 +241,7 @@ class WarcReader(DataSourceReader):
                 while b"\r\n\r\n" not in data and not unpacker.eof:
                     more = unpacker.unconsumed_tail or file.read(4096)
                     if not more:
-                        break
+                        raise ValueError(f"{partition.path}: a file that ends within a record, at byte {at}")
                     data += unpacker.decompress(more, 16384)
                 headers, begin = parse_headers(data)
                 row = fields(headers)
@@ -234,6 +249,8 @@ class WarcReader(DataSourceReader):
                     if self.payloads and row["record_type"] != "revisit":
                         file.seek(at)
                         member = file.read(length)
+                        if len(member) < length:
+                            raise ValueError(f"{partition.path}: a file that ends within a record, at byte {at}")
                         unpacker = zlib.decompressobj(-15)
                         data = unpacker.decompress(member[20:])
                         crc, total = struct.unpack("<II", member[-8:])
@@ -253,11 +270,15 @@ class WarcReader(DataSourceReader):
             while b"\r\n\r\n" not in data:
                 more = file.read(4096)
                 if not more:
-                    return
+                    if not data.strip():
+                        return
+                    raise ValueError(f"a file that ends within a record's headers, at byte {at}")
                 data += more
             headers, begin = parse_headers(data)
             length = int(headers["content-length"])
             row = fields(headers)
+            if at + begin + length > size:
+                raise ValueError(f"a file that ends within a record, at byte {at}")
             if self.accept(row):
                 if self.payloads:
                     file.seek(at + begin)
@@ -275,7 +296,9 @@ class WarcReader(DataSourceReader):
             while not unpacker.eof:
                 rest = rest or file.read(1 << 16)
                 if not rest:
-                    return
+                    if not data:
+                        return
+                    raise ValueError(f"a file that ends within a record of {len(data)} bytes so far")
                 data += unpacker.decompress(rest)
                 rest = unpacker.unused_data if unpacker.eof else b""
             headers, begin = parse_headers(data)
@@ -326,8 +349,16 @@ def list_files(path: str) -> list[str]:
     return [(f"file://{p}" if scheme.startswith("file") or not scheme else path.split(place)[0] + p) for p in keep]
 
 
+def listed(folder: str) -> list[str]:
+    """The paths of a kept table of write_warc()."""
+    import pyarrow.parquet as pq
+
+    system, place = shared.open_fs(folder)
+    return sorted(pq.read_table(place, columns=["path"], filesystem=system)["path"].to_pylist())
+
+
 class WarcDataSource(DataSource):
-    """options: path (a file or folder); payloads=false skips all payloads."""
+    """options: path (a file or folder), or manifest (a table of write_warc() whose files alone are read); payloads=false skips all payloads."""
 
     @classmethod
     def name(cls) -> str:
@@ -340,10 +371,11 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, manifest: str | None = None) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("docspark-warc").option("payloads", str(payloads).lower()).load(path)
+    reader = spark.read.format("docspark-warc").option("payloads", str(payloads).lower())
+    return (reader.option("manifest", manifest) if manifest else reader).load(path)
 
 
 def page_of(urn: Column) -> Column:
@@ -352,10 +384,10 @@ def page_of(urn: Column) -> Column:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = shared.Scratch(spark, "op3")
-    written = scratch.keep(write_warc(plan_records(shared.table(spark, sf_dir, "pages")), scratch.path("warc")), "written")
+    written = scratch.keep(write_warc(plan_records(shared.table(spark, sf_dir, "pages"), scratch), scratch.path("warc")), "written")
     if not written.limit(1).count():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-    found = read_warc(spark, scratch.path("warc"))
+    found = read_warc(spark, scratch.path("warc"), manifest=scratch.path("written"))
     response = F.col("record_type") == "response"
     # responses are digested from what was read back; revisits carry no payload, their headers say what it was
     return found.select(
