@@ -8,11 +8,14 @@ serial correlation give three p-values under "drawn uniformly", which Fisher's
 method combines.  Natural tokens have p near 0, random ones any p alike.  From
 the corpus-wide histogram of p in each stratum of encoding and length follows
 how many tokens above a threshold are not random; the lowest threshold that
-keeps this false-discovery rate under ``FDR`` holds for the stratum.
-
-Null and empty texts have no spans.  Repeated rows and ties each give a row of
-their own; nothing is joined by doc_id.  A null doc_id stays null.  Extra
-columns don't matter.
+keeps this false-discovery rate under ``FDR`` holds for the stratum.  Strata of
+few tokens share a histogram, under the same rule; tokens of 20 * 2 ** 7.5
+characters and more are one stratum of their encoding.
+
+Null and empty texts have no spans.  Very long texts are searched whole.
+Repeated rows and ties each give a row of their own; nothing is joined by
+doc_id.  A null doc_id stays null.  Empty tables give no rows.  Extra columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ ENCODINGS = (
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 FDR = 0.05
-#: Below so many tokens a stratum's histogram says too little and FDR itself is the threshold.
+#: Strata of fewer tokens than this are judged by the histogram of their encoding's small strata together, and those by that of all small ones.
 LEAST = 40
 BINS = 50
 
@@ -150,21 +153,29 @@ def thresholds(scanned: DataFrame) -> dict[int, float]:
     by: dict[int, list[int]] = {}
     for row in bins:
         by.setdefault(row["g"], [0] * BINS)[row["b"]] += row["count"]
-    out = {}
+    pooled: dict[int, list[int]] = {}  # an encoding's small strata, or under -1 what is still small then
+    home = {g: g for g in by}
     for g, counts in by.items():
-        total = sum(counts)
-        random = min(1.0, sum(counts[BINS // 2 :]) / (0.5 * total))
-        out[g] = FDR
-        if total >= LEAST:
-            out[g] = 1.0
-            above = total
-            for b in range(BINS):
-                expected = random * total * (1 - b / BINS)
-                if above and 1 - expected / above <= FDR:
-                    out[g] = b / BINS
-                    break
-                above -= counts[b]
-    return out
+        if sum(counts) < LEAST:
+            home[g] = -2 - g // 16
+            pooled[home[g]] = [a + b for a, b in zip(pooled.get(home[g], [0] * BINS), counts, strict=True)]
+    for g in [g for g, counts in pooled.items() if sum(counts) < LEAST]:
+        pooled[-1] = [a + b for a, b in zip(pooled.get(-1, [0] * BINS), pooled.pop(g), strict=True)]
+    found = {g: least_random(counts) for g, counts in (by | pooled).items()}
+    return {g: found[h if h in found else -1] for g, h in home.items()}
+
+
+def least_random(counts: list[int]) -> float:
+    """The least p above which at most a share of FDR of the tokens isn't random, by the upper half of the histogram."""
+    total = sum(counts)
+    random = min(1.0, sum(counts[BINS // 2 :]) / (0.5 * total))
+    above = total
+    for b in range(BINS):
+        expected = random * total * (1 - b / BINS)
+        if above and 1 - expected / above <= FDR:
+            return b / BINS
+        above -= counts[b]
+    return 1.0
 
 
 def report(scanned: DataFrame, least: dict[int, float]) -> DataFrame:
