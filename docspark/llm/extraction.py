@@ -3,17 +3,20 @@
 A page becomes text blocks below a tree of elements.  A logistic classifier on
 each block's text (length, links, punctuation, kind, place), trained here on a
 bounded sample of pages whose elements say what they are (article against nav,
-footer and so on), and the element's own meaning give a block's cost of either
-label: capacities to the terminals.  Edges between neighbouring blocks, weaker
+footer and so on), gives a block's cost of either label: capacities to the
+terminals.  The element's own meaning, where it has one, is further evidence of
+about the same weight, so neither decides alone.  Edges between neighbouring blocks, weaker
 the further apart they are in the tree, and from blocks to their element and
 from elements to theirs, make a cut between unlike neighbours dear.  The
 minimum cut (maximum flow, by level graphs) leaves content with the source.
+Elements that are marked as hidden have no blocks.
 
 Null and empty pages, and pages without content, give an empty text.  Broken
 markup is read as browsers do: open elements end with the page, an unfinished
-tag is dropped.  Very long pages are read whole.  Without meaningful elements
-in the sample the classifier keeps its start weights.  Repeated rows get a row
-each.  Extra columns don't matter.
+tag is dropped.  Very long pages are read whole, in time proportional to their
+length.  Without meaningful elements in the sample the classifier keeps its
+start weights.  Repeated rows get a row each; of equal cuts the one with the
+least content holds.  Empty tables give no rows.  Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -45,8 +48,10 @@ NEGATIVE_NAMES = frozenset(
 POSITIVE_NAMES = frozenset("article content post entry story main text body".split())
 #: A class name with one of these tells what a page has, not what the element is: has-sidebar, share-enabled (fixed values).
 TELLING = frozenset("has with without no enabled disabled open closed".split())
-#: What an element says of itself: hidden; negative by its kind or role; a form; negative by a class word; positive by a class word or role; article; main.
-HIDDEN, ELEMENT, FORM, WORD, NOTHING, NAMED, ARTICLE, MAIN = -4, -3, -2, -1, 0, 1, 2, 3
+#: What an element says of itself: hidden; negative by its kind or role; a form; readers' comments or else negative by a class word; positive by a class word or role; article; main.
+HIDDEN, ELEMENT, FORM, TALK, WORD, NOTHING, NAMED, ARTICLE, MAIN = -5, -4, -3, -2, -1, 0, 1, 2, 3
+#: Class words of readers' comments, whose text is like an article's (fixed values).
+COMMENTS = frozenset("comment comments reply replies discussion disqus".split())
 #: Elements that end when one of these begins (fixed values).
 IMPLIED = {
     "p": frozenset(BLOCKS - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -59,9 +64,9 @@ SPACES = re.compile(r"\s+")
 FEATURES = ("one", "log_words", "link_share", "ends_sentence", "sentences", "paragraph", "heading", "item", "place", "signs")
 START = np.array([-1.2, 0.9, -4.0, 1.2, 0.3, 0.6, 0.2, -0.8, 0.0, -1.0])
 #: Bound of a block's classifier cost.
-LIMIT = 4.0
-#: Costs from the elements' meaning: what is hidden stays out, an element's kind needs the classifier and edges against it, a class word the classifier alone.
-UNSEEN, STRUCTURE, WORDS = 20.0, 4.5, 3.5
+LIMIT = 3.0
+#: Costs from the elements' meaning, on the scale of the classifier's and the edges': an element's kind needs the classifier and edges against it, a class word the classifier alone.  What is hidden isn't seen at all.
+UNSEEN, STRUCTURE, WORDS = 20.0, 3.5, 2.5
 #: Weights of edges.
 NEIGHBOUR, PARENT, HUB = 1.0, 0.5, 0.25
 #: Pages that the classifier is fitted on, about: those whose hashed ids fall on as many of the table's rows.
@@ -84,9 +89,13 @@ class Page:
         self.parent, self.depth, self.own, self.header = [-1], [0], [NOTHING], [False]
         self._read(source)
         self._mean()
+        self.blocks = [b for b in self.blocks if self.cost[b.container] < UNSEEN]
 
     def _read(self, source: str) -> None:
+        """Elements and blocks in one pass; every element is opened and closed once, and found by its name without a search."""
         stack: list[tuple[str, int]] = [("", 0)]  # element, container
+        open_at: dict[str, list[int]] = {}  # places of open elements in the stack, by name
+        blocks_at: list[int] = []  # places of open block elements
         block: Block | None = None
         anchors = at = 0
         find = TAG.search
@@ -96,13 +105,30 @@ class Page:
             nonlocal block
             if text and (block is not None or not text.isspace()):
                 if block is None:
-                    kind = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                    block = Block(stack[-1][1], kind)
+                    block = Block(stack[-1][1], stack[blocks_at[-1]][0] if blocks_at else "")
                     self.blocks.append(block)
                 block.parts.append(text)
                 if anchors:
                     block.anchor += len(text)
 
+        def push(name: str, container: int) -> None:
+            nonlocal anchors
+            open_at.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks_at.append(len(stack))
+            anchors += name == "a"
+            stack.append((name, container))
+
+        def close(place: int) -> None:
+            """Close the element at a place of the stack and all within it."""
+            nonlocal anchors
+            while len(stack) > place:
+                name = stack.pop()[0]
+                open_at[name].pop()
+                if name in BLOCKS:
+                    blocks_at.pop()
+                anchors -= name == "a"
+
         while at < size:
             m = find(source, at)
             if not m:
@@ -121,13 +147,10 @@ class Page:
             if closing:
                 if name in BLOCKS:
                     block = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        anchors -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if name not in BLOCKS and stack[k][0] in BLOCKS:
-                        break
+                own = open_at.get(name)
+                # an inline element ends within the block that holds it
+                if own and (name in BLOCKS or not blocks_at or own[-1] > blocks_at[-1]):
+                    close(own[-1])
                 continue
             if name in RAW:
                 at = self._skip(source, m.start(), at, name)
@@ -138,23 +161,22 @@ class Page:
                 continue
             if name in BLOCKS:
                 block = None
-                for k in range(len(stack) - 1, 0, -1):
-                    ends = IMPLIED.get(stack[k][0])
+                # kinds that end each other don't nest, so at most one of each is looked at
+                for k in range(len(blocks_at) - 1, -1, -1):
+                    ends = IMPLIED.get(stack[blocks_at[k]][0])
                     if ends and name in ends:
-                        anchors -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
+                        close(blocks_at[k])
                         break
-                    if stack[k][0] in BLOCKS and stack[k][0] not in IMPLIED:
+                    if not ends:
                         break
                 attributes = m[3] or m[6] or ""
                 self.parent.append(stack[-1][1])
                 self.depth.append(self.depth[stack[-1][1]] + 1)
                 self.own.append(self._says(name, attributes))
                 self.header.append(name == "header")
-                stack.append((name, len(self.parent) - 1))
+                push(name, len(self.parent) - 1)
             elif name == "a" or not (m[3] or m[6] or "").endswith("/"):
-                anchors += name == "a"
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
         for b in self.blocks:
             b.text = SPACES.sub(" ", html.unescape("".join(b.parts))).strip()
         self.blocks = [b for b in self.blocks if b.text]
@@ -179,7 +201,7 @@ class Page:
         """What an element says of itself by kind, role and class words."""
         own = MAIN if name == "main" else ARTICLE if name == "article" else FORM if name == "form" else ELEMENT if name in NEGATIVE else NOTHING
         if attributes and "=" in attributes or "hidden" in attributes:
-            bad = good = False
+            bad = good = comments = False
             for key, *values in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values).lower()
                 if key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -197,12 +219,13 @@ class Page:
                         bad = True
                     if names & {"article", "main", "entry", "story", "post", "content"}:
                         good = True
+                    comments |= bool(names & COMMENTS)
             if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
                 return HIDDEN
             if own == ARTICLE and bad and not good:
                 return NOTHING  # an article of comments, say: what is around it and its text decide
             if own == NOTHING and name not in ("html", "body"):
-                own = WORD if bad else NAMED if good else NOTHING
+                own = TALK if comments and bad else WORD if bad else NAMED if good else NOTHING
         return own
 
     def _mean(self) -> None:
@@ -231,9 +254,9 @@ class Page:
                 up, cost = 1, STRUCTURE
             elif o == ARTICLE:
                 up, cost = (1, STRUCTURE) if up >= 0 else (0, 0.0)
-            elif holds[c] and o in (FORM, WORD) or self.header[c] and up > 0 and o == ELEMENT:
+            elif holds[c] and o in (FORM, TALK, WORD) or self.header[c] and up > 0 and o == ELEMENT:
                 pass
-            elif o in (ELEMENT, FORM):
+            elif o in (ELEMENT, FORM, TALK):
                 up, cost = -1, STRUCTURE
             elif o == WORD and up >= 0:
                 up, cost = -1, WORDS

@@ -328,6 +328,50 @@ def test_extraction_skips_no_text_after_embedded_elements(inside, shown):
     assert extraction.main_text(page) == re.sub(" +", " ", f"The icon {shown} stands before these words.\nAnd this is the end of the text.")
 
 
+LONG_TEXT = "It rained for most of the week. The river rose, and people carried sand to the bridge. Nobody was hurt."
+
+
+def test_the_cut_overturns_labels():
+    """An aside's text between an article's paragraphs stays with them, the same text elsewhere goes; so does a link list in the article."""
+    p = f"<p>{LONG_TEXT}</p>"
+    aside = "<aside><p>The bridge was built before the war. It has stood since, and the town is proud of it. Many come to see it.</p></aside>"
+    within, after = f"<article>{p}{p}{aside}{p}{p}</article>", f"<article>{p}{p}{p}{p}</article><div><div>{aside}</div></div>"
+    for source, wanted in ((within, True), (after, False)):
+        page = extraction.Page(source)
+        meaning = [page.meaning[b.container] for b in page.blocks]
+        kept = extraction.content(page, extraction.START)
+        assert [k for k, m in zip(kept, meaning, strict=True) if m < 0] == [wanted] and all(k for k, m in zip(kept, meaning, strict=True) if m > 0)
+    # without the edges the aside's own costs leave it out
+    page = extraction.Page(within)
+    score = np.clip(extraction.features(page) @ extraction.START, -extraction.LIMIT, extraction.LIMIT)
+    assert [float(s) + page.cost[b.container] * page.meaning[b.container] > 0 for s, b in zip(score, page.blocks, strict=True)] == [True, True, False, True, True]
+
+
+def test_extraction_without_semantic_elements(spark, data):
+    """Pages whose elements and class words are taken away, by weights that other pages gave."""
+    pages = [r["html"] for r in table(spark, "/root/testdata/sf0.01", "pages").collect() if r["html"]]
+    weights = extraction.fit(pages[::2])
+
+    def bare(source):
+        source = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|form|section)\b[^>]*>", r"<\1div>", source)
+        return re.sub(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", source)
+
+    same = [extraction.main_text(bare(x), weights) == extraction.main_text(x, weights) for x in pages[1::2]]
+    assert sum(same) >= 0.93 * len(same)
+    assert all(extraction.Page(bare(x)).meaning.count(0) == len(extraction.Page(bare(x)).meaning) for x in pages[1:20:2])
+
+
+@pytest.mark.parametrize("broken", ["<b>x</i>", "<b>x<div>y</div>", "<li><td>a", "<a href=x>x<p>", "<div><i>z</b>", "<svg>q"])
+def test_broken_pages_are_read_in_linear_time(broken):
+    def seconds(size):
+        began = time.perf_counter()
+        extraction.main_text(broken * (size // len(broken)))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 40 * max(seconds(40_000), 0.02)
+
+
 def test_flow_is_a_minimum_cut():
     r = random.Random(3)
     for _ in range(30):
