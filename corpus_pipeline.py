@@ -17,7 +17,7 @@ from docspark.plans.session import ship
 
 #: Documents of this score or more go.
 TOXIC = 0.3
-#: Words of a shingle for near-duplicates.
+#: Words of a shingle for near-duplicates: five, as no contract names another number for this stage (op10's names four).
 SHINGLE_WORDS = 5
 
 _open: list[shared.Scratch] = []
@@ -40,7 +40,13 @@ def _aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go; those without a score of TOXIC stay."""
+    """Documents that the toxicity score rejects go; those below a score of TOXIC stay.
+
+    Null and empty texts have no evidence and the score of none, so they stay.
+    Repeated rows have equal texts and go or stay alike; a score of exactly
+    TOXIC goes.  Very long texts are scored whole.  Without labels, or an empty
+    table of them, all stay; an empty table gives an empty one.
+    """
     moved, back = _aside(docs)
     labels = shared.table(spark, sf_dir, "labels")
     scored = toxicity.score(moved, labels, _begin(spark, "toxicity", first=True), tuple(moved.columns))
@@ -48,7 +54,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar word shingles connect, the one with the smallest id stays."""
+    """Of documents that links of similar word shingles connect, the one with the smallest id stays.
+
+    Null and empty texts have no links and stay, and so do rows without a
+    doc_id.  All rows of the id that stays do; where their texts differ, the
+    least text speaks for them.  Pairs right at the similarity are links.  Very
+    long texts count whole; an empty table gives an empty one.
+    """
     scratch = _begin(spark, "neardup")
     found = neardup.near_duplicates(docs, scratch, SHINGLE_WORDS)
     gone = scratch.keep(found.filter("not kept").select("doc_id").distinct(), "gone")
@@ -57,7 +69,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts have no words and stay, as all do where the benchmark
+    is empty.  Each of repeated rows is judged by its own text.  Very long texts
+    are searched whole; an empty table gives an empty one.
+    """
     moved, back = _aside(docs)
     bench = shared.table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(moved, bench, _begin(spark, "decontamination"), tuple(moved.columns))
@@ -65,14 +82,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets; n_chars follows the text."""
+    """Personal data gives way to its kind in brackets; n_chars follows the text.
+
+    Null texts stay null and keep their n_chars, empty ones stay empty.  Of
+    overlapping spans one bracket remains, of the kind that begins first.
+    Repeated rows change alike, very long texts whole; no row goes, and an
+    empty table gives an empty one.
+    """
     _begin(spark, "pii")
     masked = pii.mask(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else masked
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in sequences of 2048: doc_id, piece, start, length, ids, sequence_id, offset."""
+    """Token ids of all documents in sequences of 2048: doc_id, piece, start, length, ids, sequence_id, offset.
+
+    Null and empty texts are the end id alone.  Repeated rows are packed each,
+    very long texts in pieces; pieces of equal length take their places in the
+    order of tasks and rows.  An empty table gives no piece.
+    """
     return packing.pack(docs, _begin(spark, "packing"))
 
 

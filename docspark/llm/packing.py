@@ -12,8 +12,9 @@ find their places by their rank among pieces of their length.
 
 Ranks need no shuffle by length: partitions count their lengths, and a
 partition's ranks follow those of the partitions before it.  Nulls and empty
-texts are pieces of one token (the end id).  Ties and repeated rows get
-different ranks.  Extra input columns are ignored.
+texts are pieces of one token (the end id).  Very long texts are cut as above,
+however many pieces they make.  Ties and repeated rows get different ranks.
+Empty tables give no pieces.  Extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ CAPACITY = 2048
 # ---- the plan, from the histogram alone
 
 
-def nnls(columns: np.ndarray, target: np.ndarray, steps: int = 300) -> np.ndarray:
-    """min |Ax - target| under x >= 0 by accelerated projected gradients.
+def nnls(columns: np.ndarray, target: np.ndarray, steps: int = 2000, tolerance: float = 1e-5) -> np.ndarray:
+    """min |Ax - target| under x >= 0 by accelerated projected gradients, begun anew where they overshoot.
+
+    Ends once the optimality conditions hold up to ``tolerance`` of the target's
+    scale: no gradient where x > 0, and none that asks for more where x = 0.
 
     columns: for each column of A the rows it adds one to, padded with the
     number of rows.
@@ -48,10 +52,17 @@ def nnls(columns: np.ndarray, target: np.ndarray, steps: int = 300) -> np.ndarra
         return y
 
     x = np.zeros(len(columns))
+    # the norm of A'A is at most the product of its largest column and row sums
     rate = 1.0 / (columns.shape[1] * max(1.0, float(times(np.ones(len(columns))).max())))
     y, t = x, 1.0
     for _ in range(steps):
-        new = np.maximum(0, y - rate * (times(y) - b)[columns].sum(1))
+        gradient = (times(y) - b)[columns].sum(1)
+        new = np.maximum(0, y - rate * gradient)
+        if np.abs(new - y).max(initial=0) <= rate * tolerance:
+            return new * scale
+        if float(gradient @ (new - x)) > 0:
+            y, t = x, 1.0
+            continue
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / after * (new - x)
         x, t = new, after

@@ -194,6 +194,20 @@ def test_plan_is_close_to_the_bound(number):
     assert number < 100 or sum(n for _, n in chosen) <= 1.01 * lengths.sum() / 2048 + 1
 
 
+def test_nnls_is_optimal():
+    """The optimality conditions, on random small problems."""
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        columns = np.array([np.sort(r.choice(12, 3, replace=False)) for _ in range(25)])
+        target = r.integers(0, 1000, 12).astype(float)
+        x = packing.nnls(columns, target)
+        a = np.zeros((12, 25))
+        for j, c in enumerate(columns):
+            a[c, j] += 1
+        gradient = a.T @ (a @ x - target)
+        assert (x >= 0).all() and gradient.min() > -2e-3 * target.max() and np.abs(gradient[x > 1e-3 * target.max()]).max(initial=0) < 2e-2 * target.max()
+
+
 # ---- 3 and 5
 
 

@@ -50,5 +50,19 @@ def test_stages(spark, corpus, tmp_path):
     assert max(by.values()) <= packing.CAPACITY and len(by) <= sum(by.values()) / packing.CAPACITY * 1.2 + 1
 
 
+def test_stages_on_odd_rows_and_empty_tables(spark, corpus, tmp_path):
+    """Nulls, repeated rows and ids go through; a stage on no rows gives none, and empty side tables reject nothing."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    odd = spark.createDataFrame([(900, None, None, None, None, None), (901, "", "en", "s", 0, 0.1), (None, "no id here", "en", "s", 10, 0.1), (902, "x", "en", "s", 1, 0.1), (902, "x", "en", "s", 1, 0.1)], docs.schema)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{corpus}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), corpus).count() == 0, name
+        kept = stage(spark, odd, str(tmp_path))
+        assert kept.count() == odd.count(), name
+        if name != "packing":
+            assert sorted(map(str, kept.collect())) == sorted(map(str, odd.collect())) and kept.columns == odd.columns
+
+
 def test_run(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
