@@ -21,6 +21,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
         c.add_argument("--json", action="store_true")
         if name == "analyze":
             c.add_argument("--select", default="", help="sections, comma-separated")
+            c.add_argument("--format", default="json", choices=["json", "text"])
         if name == "convert":
             c.add_argument("--title")
             c.add_argument("--unknown-nodes", default="placeholder", choices=["placeholder", "skip", "preserve-raw", "fail"])
@@ -60,7 +61,8 @@ def main(argv: list[str]) -> int:
     elif a.command == "analyze":
         try:
             sections = tuple(s for s in a.select.split(",") if s) or convert.SECTIONS
-            found = convert.metadata(parse.nodes(docs), docs, sections)
+            make = convert.metadata if a.format == "json" else convert.metadata_report
+            found = make(parse.nodes(docs).persist(), docs, sections)
         except ValueError as e:
             print(e, file=sys.stderr)
             return 2
@@ -89,13 +91,20 @@ def main(argv: list[str]) -> int:
     if a.output:
         lookups.write_results(found, a.output)
         return code
+    if a.command == "convert" and a.json:
+        broken = found.filter("error is not null").select("error")
+        for row in broken.toLocalIterator():
+            print(row["error"], file=sys.stderr)
+        found = convert.to_json(found.filter("error is null"), convert.metadata(parse.nodes(docs), docs, options=options))
+    elif a.command == "validate" and a.json:
+        found = parse.parse_results(docs)
     for row in found.toLocalIterator():
-        if a.command == "validate":
-            print(row["report"])
-        elif a.command == "convert" and not a.json:
-            print(row["body"] if row["error"] is None else row["error"])
+        if "json" in row:
+            print(json.dumps(json.loads(row["json"]), ensure_ascii=False, indent=2))
+        elif "report" in row:
+            print(row["report"], end="" if row["report"].endswith("\n") else "\n")
         else:
-            print(json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2))
+            print(row["body"] if row["error"] is None else row["error"])
     return code
 
 

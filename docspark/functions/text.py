@@ -261,8 +261,8 @@ def integer(s: str | None) -> int | None:
 
 #: Media types by extension (fixed values).
 MEDIA_TYPES = {
-    "bmp": "image/bmp", "csv": "text/csv", "gif": "image/gif", "htm": "text/html", "html": "text/html", "jpeg": "image/jpeg",
-    "jpg": "image/jpeg", "json": "application/json", "md": "text/markdown", "pdf": "application/pdf", "png": "image/png",
+    "bmp": "image/bmp", "csv": "text/csv", "gif": "image/gif", "gz": "application/gzip", "htm": "text/html", "html": "text/html", "jpe": "image/jpeg", "jpeg": "image/jpeg",
+    "jpg": "image/jpeg", "mpeg": "video/mpeg", "mpg": "video/mpeg", "tar": "application/x-tar", "tif": "image/tiff", "tiff": "image/tiff", "wav": "audio/x-wav", "json": "application/json", "md": "text/markdown", "pdf": "application/pdf", "png": "image/png",
     "svg": "image/svg+xml", "txt": "text/plain", "webp": "image/webp", "xml": "application/xml", "zip": "application/zip",
 }
 
@@ -275,13 +275,9 @@ def file_name(path: str | None) -> str | None:
 
 
 def media_type(name: str | None) -> str | None:
-    import mimetypes
-
+    """By the extension of the last path segment; the same table as in SQL, whatever the machine's own."""
     name = file_name(name)
-    if name is None:
-        return None
-    known = MEDIA_TYPES.get(name.rpartition(".")[2].lower()) if "." in name else None
-    return known or mimetypes.guess_type(name)[0]
+    return MEDIA_TYPES.get(name.rpartition(".")[2].lower()) if name and "." in name else None
 
 
 def is_image_type(mime: str | None) -> bool | None:

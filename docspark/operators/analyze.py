@@ -101,6 +101,11 @@ def attachment_refs(nodes: DataFrame, inventory: DataFrame | None = None) -> Dat
     return numbered(seen.groupBy("doc_id", "file_id").agg(F.min(F.struct("path", "i")).alias("path"), last("title"), last("media_type")))
 
 
+def referenced_file_ids(nodes: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """doc_id, ord, file_id: each file that a document refers to, once, in first-seen order."""
+    return attachment_refs(nodes, inventory).filter(clean(F.col("file_id")).isNotNull()).select("doc_id", "ord", "file_id")
+
+
 def valid_inventory(inventory: DataFrame) -> DataFrame:
     """The first entry of each title, white space and case aside; entries without title or file id drop out."""
     norm = inventory.withColumn("title_key", F.lower(clean(F.col("title")))).filter(F.col("title_key").isNotNull() & clean(F.col("file_id")).isNotNull())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import text as t
@@ -147,8 +147,12 @@ class Tables:
 
 
 def _url_map(refs: DataFrame, key: str, table: DataFrame, name: str) -> DataFrame:
-    """doc_id and a map of the keys it refers to: only what is asked for travels."""
-    hits = refs.select("doc_id", key).distinct().join(table.select(key, "url").dropDuplicates([key]), key)
+    """doc_id and a map of the keys it refers to: only what is asked for travels.
+
+    Of several URLs of one key the last in the column ord wins, or else the greatest.
+    """
+    order = F.struct("ord", "url") if "ord" in table.columns else F.col("url")
+    hits = refs.select("doc_id", key).distinct().join(table.groupBy(key).agg(F.max_by("url", order).alias("url")), key)
     return hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "url"))).alias(name))
 
 
@@ -194,26 +198,37 @@ def with_lookups(docs: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame
     return out
 
 
-def corpus_excerpts(docs: DataFrame, title: str = "document_title", options: render.Options = render.Options()) -> DataFrame:
-    """page, name, markdown: the excerpts that documents define, rendered; a later one of the same name wins.
-
-    Definitions are rendered in a first pass and joined into the second, so a
-    corpus resolves its own includes.
-    """
+def excerpt_bodies(docs: DataFrame, keep: str = "doc_id", options: render.Options = render.Options()) -> DataFrame:
+    """``keep``, ord, name and markdown of each excerpt that a document defines, its body rendered alone."""
     from docspark.plans import tree
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for page, adf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found: list[list] = [[], [], [], []]
+            for key, adf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks, _ = tree.parse(adf)
-                for order, (_, n) in enumerate(tree.walk(blocks or [])):
-                    if n.known and n.type == "bodiedExtension" and tree.string(n.attrs.get("extensionType")) == tree.MACRO and tree.string(n.attrs.get("extensionKey")) == "excerpt":
-                        rows.append({"page": page, "name": t.clean(tree.macro_params(n).get("name")), "ord": order, "markdown": render.Fold(n.children, options, render.Lookups()).body()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("page", pa.string()), ("name", pa.string()), ("ord", pa.int32()), ("markdown", pa.string())]))
+                shown = (n for _, n in tree.walk(blocks or []) if n.known and n.type == "bodiedExtension" and tree.string(n.attrs.get("extensionType")) == tree.MACRO and tree.string(n.attrs.get("extensionKey")) == "excerpt")
+                for order, n in enumerate(shown):
+                    for column, value in zip(found, (key, order, t.clean(tree.macro_params(n).get("name")), render.Fold(n.children, options, render.Lookups()).body()), strict=True):
+                        column.append(value)
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], names=[keep, "ord", "name", "markdown"])
 
-    found = docs.filter("adf like '%excerpt%'").select(title, "adf").mapInArrow(run, "page string, name string, ord int, markdown string")
-    return found.groupBy("page", "name").agg(F.max_by("markdown", "ord").alias("markdown"))
+    return docs.filter("adf like '%excerpt%'").select(keep, "adf").mapInArrow(run, f"{keep} {docs.schema[keep].dataType.simpleString()}, ord int, name string, markdown string")
+
+
+def corpus_excerpts(docs: DataFrame, title: str = "document_title", options: render.Options = render.Options()) -> DataFrame:
+    """page, name, markdown: the excerpts that documents define, rendered; of one name the document's last wins.
+
+    Definitions are rendered in a first pass and joined into the second, so a
+    corpus resolves its own includes.  Where documents of one title define the
+    same name, that of the largest doc_id (if there is one), then of the
+    greatest text, wins in every run.
+    """
+    order = [F.col("doc_id")] if "doc_id" in docs.columns else []
+    own = docs.select(F.struct(F.col(title).alias("page"), *order).alias("of"), "adf")
+    found = excerpt_bodies(own, "of", options)
+    return found.groupBy(F.col("of.page").alias("page"), "name").agg(F.max_by("markdown", F.struct(*[F.col("of.doc_id")] * bool(order), "ord", "markdown")).alias("markdown"))
 
 
 # ---- results
@@ -236,32 +251,100 @@ def exit_code(results: DataFrame, fail_on: str | None = None) -> int:
     return 0
 
 
-def to_json(results: DataFrame, pretty: bool = False) -> DataFrame:
-    """doc_id and the whole result as JSON."""
-    fields = [c for c in results.columns if c not in ("doc_id", "error")]
-    return results.select("doc_id", F.to_json(F.struct(*fields), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}).alias("json"))
+def to_json(results: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """doc_id and the whole result as JSON: body, wasLossy, diagnostics, metadata, unresolved.
+
+    known: metadata()'s rows of the same documents; without them metadata is empty.
+    """
+    plain = {"ignoreNullFields": "false"}
+    unresolved = F.struct(
+        F.col("unresolved.page_ids").alias("pageIds"),
+        F.transform("unresolved.page_trees", lambda x: F.struct(x["macro"].alias("macro"), x["root"].alias("root"))).alias("pageTreeRefs"),
+        F.transform("unresolved.excerpts", lambda x: F.struct(x["page"].alias("page"), x["name"].alias("excerptName"))).alias("excerptRefs"),
+    )
+    both = results.join(known.select("doc_id", F.col("json").alias("_metadata")), "doc_id", "left") if known is not None else results.withColumn("_metadata", F.lit(None).cast("string"))
+    ends = F.to_json(F.struct("diagnostics"), plain), F.to_json(F.struct(unresolved.alias("unresolved")), plain)
+    inner = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
+    whole = F.concat(
+        F.lit('{"body":'), json_value("body"), F.lit(',"wasLossy":'), F.col("lossy").cast("string"), F.lit(","), inner(ends[0]), F.lit(',"metadata":'), F.coalesce("_metadata", F.lit("{}")), F.lit(","), inner(ends[1]), F.lit("}")
+    )
+    return both.select("doc_id", whole.alias("json"))
 
 
-#: Sections of the metadata JSON in order (fixed value).
-SECTIONS = ("outline", "pageRefs", "externalRefs", "mentionRefs", "attachmentRefs", "pageTreeRefs", "excerptRefs", "excerpts", "lossiness")
+def json_value(c) -> Column:
+    """A string column as JSON, null included."""
+    value = F.col(c) if isinstance(c, str) else c
+    return F.when(value.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.struct(value.cast("string").alias("x"))), r"(?s)^.{5}(.*).$", 1))
 
 
-def metadata(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...] = SECTIONS, inventory: DataFrame | None = None) -> DataFrame:
-    """doc_id and an array of structs for each section; sections that aren't asked for aren't computed."""
+#: Sections of the metadata JSON in order, and of the text report (fixed values).
+SECTIONS = ("pageRefs", "externalRefs", "mentionRefs", "attachmentRefs", "referencedFileIds", "pageTreeRefs", "excerptRefs", "excerpts", "outline")
+REPORT = ("outline", *SECTIONS[:-1])
+
+
+def _section_rows(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...], inventory: DataFrame | None, options: render.Options) -> DataFrame:
+    """doc_id, section, ord, json and line of every entry of the sections asked for."""
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections: {sorted(unknown)}")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    member = lambda **fields: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]), F.lit("}"))
+    parameters = F.coalesce(F.to_json("params"), F.lit("{}"))
+    brackets = lambda a, b: F.concat(said(a), F.lit(" ["), said(b), F.lit("]"))
+    depth = F.when(F.col("depth").isNotNull(), F.concat(F.lit('"depth":'), F.col("depth").cast("string")))
+    tree_json = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"macro":'), json_value("macro")), F.concat(F.lit('"root":'), json_value("root")), depth, F.concat(F.lit('"all":'), F.col("all_levels").cast("string")), F.concat(F.lit('"parameters":'), parameters)), F.lit("}"))
+    strip = lambda c: F.regexp_replace(F.col(c), r"^\s+|\s+$", "")
     make = {
-        "outline": lambda: analyze.outline(nodes), "pageRefs": lambda: analyze.page_refs(nodes), "externalRefs": lambda: analyze.external_refs(nodes), "mentionRefs": lambda: analyze.mention_refs(nodes),
-        "attachmentRefs": lambda: analyze.attachment_refs(nodes, inventory), "pageTreeRefs": lambda: analyze.page_tree_refs(nodes), "excerptRefs": lambda: analyze.excerpt_refs(nodes),
-        "excerpts": lambda: analyze.excerpts(nodes), "lossiness": lambda: analyze.lossiness(nodes).withColumn("ord", F.lit(0)),
+        "pageRefs": (lambda: analyze.page_refs(nodes), json_value("page_node_id"), said("page_node_id")),
+        "externalRefs": (lambda: analyze.external_refs(nodes), json_value("url"), said("url")),
+        "mentionRefs": (lambda: analyze.mention_refs(nodes), member(id=json_value("mention_id"), text=json_value("text")), brackets("text", "mention_id")),
+        "attachmentRefs": (lambda: analyze.attachment_refs(nodes, inventory), member(fileId=json_value("file_id"), title=json_value("title"), mediaType=json_value("media_type")), brackets("title", "file_id")),
+        "referencedFileIds": (lambda: analyze.referenced_file_ids(nodes, inventory), json_value("file_id"), said("file_id")),
+        "pageTreeRefs": (lambda: analyze.page_tree_refs(nodes), tree_json, F.concat("macro", F.lit(" root="), said("root"))),
+        "excerptRefs": (lambda: analyze.excerpt_refs(nodes), member(page=json_value("page"), excerptName=json_value("name"), parameters=parameters), F.concat_ws("/", "page", "name")),
+        "excerpts": (lambda: excerpt_bodies(docs, "doc_id", options), member(name=json_value("name"), markdown=json_value("markdown")), F.concat(F.coalesce("name", F.lit("(unnamed)")), F.lit(": "), strip("markdown"))),
+        "outline": (
+            lambda: analyze.outline(nodes), member(level=F.col("level").cast("string"), text=json_value("text"), anchor=json_value("anchor")),
+            F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("H"), F.col("level"), F.lit(" "), said("text"), F.lit(" (#"), said("anchor"), F.lit(")")),
+        ),
     }
-    out = docs.select("doc_id")
+    rows = None
     for name in (s for s in SECTIONS if s in sections):
-        df = make[name]()
-        fields = ["ord", *[c for c in df.columns if c not in ("doc_id", "ord", "params")]]
-        out = out.join(df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name)), "doc_id", "left")
-    return out
+        df, as_json, line = make[name][0](), make[name][1], make[name][2]
+        one = df.select("doc_id", F.lit(name).alias("section"), F.col("ord").cast("int").alias("ord"), as_json.alias("json"), line.alias("line"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _by_section(nodes, docs, sections, inventory, options) -> tuple[DataFrame, Callable]:
+    """docs' ids with a map from a section to its entries (json, line), and the entries of a section."""
+    rows = _section_rows(nodes, docs, sections, inventory, options)
+    lists = rows.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("ord", "json", "line"))).alias("entries"))
+    maps = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "entries"))).alias("of"))
+    entry = lambda name, field: F.coalesce(F.transform(F.element_at("of", F.lit(name)), lambda x: x[field]), F.array().cast("array<string>"))
+    return docs.select("doc_id").join(maps, "doc_id", "left"), entry
+
+
+def metadata(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...] = SECTIONS, inventory: DataFrame | None = None, options: render.Options = render.Options()) -> DataFrame:
+    """doc_id and the metadata as JSON; sections that aren't asked for aren't computed, the others are grouped in one shuffle.
+
+    Each section reads the nodes, so persist or write them where several are asked for.
+    """
+    joined, entry = _by_section(nodes, docs, sections, inventory, options)
+    parts = [F.concat(F.lit(f'"{s}":['), F.array_join(entry(s, "json"), ","), F.lit("]")) for s in SECTIONS if s in sections]
+    return joined.select("doc_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+
+
+def metadata_report(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...] = SECTIONS, inventory: DataFrame | None = None, options: render.Options = render.Options()) -> DataFrame:
+    """doc_id and the metadata as text: the outline's headings, then each list with its length."""
+    joined, entry = _by_section(nodes, docs, sections, inventory, options)
+    parts = []
+    for s in (s for s in REPORT if s in sections):
+        shown = F.array_join(F.transform(entry(s, "line"), lambda x: F.concat(F.lit("  "), x, F.lit("\n"))), "")
+        n = F.size(entry(s, "line"))
+        head = F.lit("outline:\n") if s == "outline" else F.concat(F.lit(f"{s} ("), n.cast("string"), F.when(n == 0, F.lit("): none\n")).otherwise(F.lit("):\n")))
+        parts.append(F.concat(head, shown))
+    return joined.select("doc_id", F.concat(*parts).alias("report"))
 
 
 def report(docs: DataFrame) -> DataFrame:

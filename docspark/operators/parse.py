@@ -110,8 +110,9 @@ def nodes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "adf").mapInArrow(run, NODES_DDL)
 
 
-def parse_result(adf: str | None) -> str:
-    """One document's issues as JSON: validAdfRoot and issues."""
-    blocks, codes = tree.parse(adf)
-    issues = [{"code": c, "severity": "WARNING" if c == "UNSUPPORTED_VERSION" else "ERROR", "message": tree.ISSUES[c]} for c in codes]
-    return json.dumps({"validAdfRoot": blocks is not None, "issues": issues}, ensure_ascii=False)
+def parse_results(docs: DataFrame) -> DataFrame:
+    """doc_id and the issues as JSON: validAdfRoot and issues."""
+    checked = validate(docs)
+    message = F.create_map(*[F.lit(x) for kv in tree.ISSUES.items() for x in kv])
+    issue = lambda c: F.struct(c.alias("code"), F.when(c == "UNSUPPORTED_VERSION", "WARNING").otherwise("ERROR").alias("severity"), message[c].alias("message"))
+    return checked.select("doc_id", F.to_json(F.struct(F.col("valid").alias("validAdfRoot"), F.transform("codes", issue).alias("issues"))).alias("json"))

@@ -6,6 +6,7 @@ Elements are rendered by methods found by their type; what the caller knows
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -58,12 +59,19 @@ class Lookups:
     extensions: list[Callable[[dict], str | None]] = field(default_factory=list)
 
 
+_failed: set[tuple[str, str]] = set()
+
+
 def _ask(function: Callable | None, argument, blank_declines: bool = True):
     if function is None:
         return None
     try:
         found = function(argument)
-    except Exception:  # a caller's function that fails has no answer
+    except Exception as e:  # a caller's function that fails has no answer
+        kind = (getattr(function, "__qualname__", repr(type(function))), type(e).__name__)
+        if kind not in _failed:  # once in a worker, not for every document
+            _failed.add(kind)
+            logging.getLogger(__name__).warning("resolver %s failed and counts as declined: %s", kind[0], e)
         return None
     return None if blank_declines and isinstance(found, str) and t.blank(found) else found
 

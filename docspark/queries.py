@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark import case_queries
 from docspark.operators import analyze, convert, parse
 from docspark.plans import render, tree
 
@@ -251,13 +252,12 @@ def attachment_refs_upsert(spark, sf_dir):
     return analyze.attachment_refs(parse.nodes(orders_media(spark, sf_dir)))
 
 
-@query("""select o_orderkey as doc_id, '[PDF: P' || (o_custkey % 50) || '](' || case when p_partkey is not null then 'http://f/' || p_partkey else 'attachment:x' || o_orderkey end || ')' as body
-from orders left join (select p_partkey from part where p_partkey % 3 = 0) on p_partkey = o_custkey % 50""")
+@query("""select o_orderkey as doc_id, '[PDF: P' || o_custkey || '](' || case when p_partkey is not null then 'http://f/' || p_partkey else 'attachment:x' || o_orderkey end || ')' as body from orders left join part on p_partkey = o_custkey""")
 def attachment_join(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    key = (F.col("o_custkey") % 50).cast("bigint")
+    key = F.col("o_custkey").cast("bigint")
     docs = o.select(F.col("o_orderkey").alias("doc_id"), key.alias("k"), doc([macro("viewpdf", {"name": F.concat(F.lit("P"), key), "fileId": F.concat(F.lit("x"), F.col("o_orderkey"))})]).alias("adf"))
-    files = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.concat(F.lit(" p"), F.col("p_partkey"), F.lit(" ")).alias("title"), F.concat(F.lit("http://f/"), F.col("p_partkey")).alias("download_url"))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit(" p"), F.col("p_partkey"), F.lit(" ")).alias("title"), F.concat(F.lit("http://f/"), F.col("p_partkey")).alias("download_url"))
     inventory = docs.join(files, "k").select("doc_id", F.lit(0).alias("ord"), F.col("k").cast("string").alias("file_id"), "title", F.lit(None).cast("string").alias("media_type"), "download_url")
     return bodies(convert.with_lookups(docs.drop("k"), parse.nodes(docs), convert.Tables(attachments=inventory))).select("doc_id", "body")
 
@@ -274,14 +274,14 @@ def page_tree_expand(spark, sf_dir):
     return bodies(convert.with_lookups(docs, parse.nodes(docs), convert.Tables(page_trees=entries))).select("doc_id", "body")
 
 
-@query(f"""select c.conv_id as doc_id, case when d.doc_id % 2 = 0 then 'E ' || d.source else '\\[Excerpt include: D' || (c.conv_id % 300) || ' / x\\]' end as body from (select distinct conv_id from conversations) c join documents d on d.doc_id = c.conv_id % 300 % (select count(*) from documents)
- where c.conv_id % 300 < (select count(*) from documents)""")
+@query("""select d.doc_id, case when d.doc_id % 2 = 0 then 'E ' || d.source else '\\[Excerpt include: D' || d.doc_id || ' / x\\]' end as body from (select distinct conv_id from conversations) c join documents d on d.doc_id = c.conv_id""")
 def excerpt_resolve(spark, sf_dir):
+    """Every even document defines an excerpt; each conversation includes that of the document of its number."""
     d = table(spark, sf_dir, "documents")
     body = node("bodiedExtension", [paragraph(text(F.concat(F.lit("E "), F.col("source"))))], F.concat(F.lit(f'{{"extensionType":"{MACRO}","extensionKey":"excerpt","parameters":{{"macroParams":{{"name":{{"value":"x"}}}}}}}}')))
-    sources = d.filter("doc_id % 2 = 0").select(F.concat(F.lit("D"), F.col("doc_id")).alias("document_title"), doc([body]).alias("adf"))
-    asked = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(d.select("doc_id"), F.col("conv_id") % 300 == F.col("doc_id"))
-    docs = asked.select(F.col("conv_id").alias("doc_id"), doc([macro("excerpt-include", {"": F.concat(F.lit("D"), F.col("conv_id") % 300), "name": "x"})]).alias("adf"))
+    sources = d.select("doc_id", F.concat(F.lit("D"), F.col("doc_id")).alias("document_title"), F.when(F.col("doc_id") % 2 == 0, doc([body])).otherwise(doc([paragraph(text("none"))])).alias("adf"))
+    asked = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(d.select("doc_id"), F.col("conv_id") == F.col("doc_id"))
+    docs = asked.select("doc_id", doc([macro("excerpt-include", {"": F.concat(F.lit("D"), F.col("doc_id")), "name": "x"})]).alias("adf"))
     return bodies(convert.with_lookups(docs, parse.nodes(docs), convert.Tables(excerpts=convert.corpus_excerpts(sources)))).select("doc_id", "body")
 
 
@@ -392,9 +392,12 @@ def render_panel_quote(spark, sf_dir):
     return bodies(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), doc([panel]).alias("adf"))).select("doc_id", "body")
 
 
-@query("""select doc_id, repeat('`', greatest(3, doc_id % 6 + 1)::int) || 'sql' || chr(10) || source || repeat('`', (doc_id % 6)::int) || ' ' || lang || chr(10) || repeat('`', greatest(3, doc_id % 6 + 1)::int) as body from documents""")
+@query("""with d as (select doc_id, coalesce(text, '') || repeat('`', (doc_id % 6)::int) || ' ' || lang t from documents),
+f as (select *, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 0) + 1)::int) ticks from d)
+select doc_id, ticks || 'sql' || chr(10) || t || chr(10) || ticks as body from f""")
 def render_code(spark, sf_dir):
-    body = F.concat(F.col("source"), F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit(" "), F.col("lang"))
+    """Whole texts as code, with runs of ticks that the fence must exceed."""
+    body = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit(" "), F.col("lang"))
     return bodies(table(spark, sf_dir, "documents").select("doc_id", doc([node("codeBlock", [text(body)], attrs(language=" s`ql "))]).alias("adf"))).select("doc_id", "body")
 
 
@@ -473,3 +476,7 @@ def stream_convert(spark, sf_dir):
     hostile(spark, sf_dir).write.mode("overwrite").parquet(f"{place}/in")
     stream.write(stream.converted(stream.read(spark, f"{place}/in")), f"{place}/out", f"{place}/state").awaitTermination()
     return spark.read.parquet(f"{place}/out").select("doc_id", "body")
+
+
+QUERIES |= case_queries.QUERIES
+SQL |= case_queries.SQL

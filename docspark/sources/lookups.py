@@ -101,6 +101,37 @@ def page_id(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]pageId=(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, PAGE_PATH, 1), F.lit("")))
 
 
+META = r"""(?is)<{tag}\b(?=[^>]*\b{key}\s*=\s*["']{value}["'])[^>]*\b{wanted}\s*=\s*["']([^"']*)["']"""
+
+
+def _meta(html: Column, tag: str, key: str, value: str, wanted: str) -> Column:
+    found = F.regexp_extract(html, META.format(tag=tag, key=key, value=value, wanted=wanted), 1)
+    return clean(found)
+
+
+def document_page_id(url: Column, html: Column) -> Column:
+    """From the URL, else from the canonical link, the page's own URL, or the ids that its metadata carry."""
+    links = [_meta(html, "link", "rel", "canonical", "href"), _meta(html, "meta", "property", "og:url", "content"), _meta(html, "meta", "name", "ajs-page-url", "content")]
+    ids = [_meta(html, "meta", "name", n, "content") for n in ("ajs-page-id", "ajs-content-id", "ajs-draft-id")]
+    return F.coalesce(page_id(url), *map(page_id, links), *[F.when(x.rlike("^[0-9]+$"), x) for x in ids])
+
+
+def document_title(response_title: Column, html: Column) -> Column:
+    """From the response, else from the page's metadata, else its title without the product's name; white space squeezed."""
+    titles = [_meta(html, "meta", "name", "ajs-page-title", "content"), _meta(html, "meta", "property", "og:title", "content")]
+    own = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"(?i)\s+-\s+Confluence\s*$", "")
+    found = F.coalesce(clean(response_title), *titles, clean(own))
+    return F.trim(F.regexp_replace(found, r"\s+", " "))
+
+
+def next_requests(dump: DataFrame, base: str = "") -> DataFrame:
+    """doc_id, ord and url of the attachment requests that follow: the next pages that responses (doc_id, ord, response) name, up to 20 a page."""
+    link = clean(F.get_json_object("response", "$._links.next"))
+    url = F.when(link.rlike("^https?://"), link).otherwise(F.concat(F.lit(base), F.when(link.startswith("/"), link).otherwise(F.concat(F.lit("/"), link))))
+    last = dump.groupBy("doc_id").agg(F.max_by(F.struct(F.col("ord"), url.alias("url")), "ord").alias("l"))
+    return last.filter(F.col("l.url").isNotNull() & (F.col("l.ord") < 19)).select("doc_id", (F.col("l.ord") + 1).alias("ord"), "l.url")
+
+
 def is_wiki(url: Column) -> Column:
     return url.rlike(r"^https://[^/?#]+\.atlassian\.net/wiki/")
 
@@ -114,11 +145,13 @@ def attachments_request(base: Column, page: Column) -> Column:
 
 
 def page_bodies(dump: DataFrame) -> DataFrame:
-    """doc_id, title, adf of page responses (doc_id, response); a body may be a string, or hold one or a document as value."""
+    """doc_id, title, adf and error of page responses (doc_id, response); a body may be a string, or hold one or a document as value."""
     body = F.get_json_object("response", "$.body.atlas_doc_format")
     value = F.get_json_object(body, "$.value")
     title = F.regexp_replace(clean(F.get_json_object("response", "$.title")), r" - Confluence$", "")
-    return dump.select("doc_id", title.alias("document_title"), F.coalesce(value, body).alias("adf"))
+    adf = F.coalesce(value, body)
+    missing = F.when(clean(adf).isNull(), F.lit("Confluence response did not include body.atlas_doc_format.value"))
+    return dump.select("doc_id", title.alias("document_title"), adf.alias("adf"), missing.alias("error"))
 
 
 def page_attachments(dump: DataFrame, base: str = "") -> DataFrame:
@@ -130,6 +163,17 @@ def page_attachments(dump: DataFrame, base: str = "") -> DataFrame:
     return rows.filter("file_id is not null")
 
 
+CONTEXT = "struct<attachments:array<struct<fileId:string,title:string,mediaType:string,downloadUrl:string>>>"
+VERSION = "1.0"
+
+
+def context_inventory(messages: DataFrame) -> DataFrame:
+    """The attachments that contexts (doc_id, context) carry, as an inventory; entries without a file id drop out."""
+    one = messages.select("doc_id", F.posexplode(F.from_json("context", CONTEXT)["attachments"]).alias("ord", "x"))
+    rows = one.select("doc_id", "ord", clean(F.col("x.fileId")).alias("file_id"), F.col("x.title").alias("title"), F.col("x.mediaType").alias("media_type"), clean(F.col("x.downloadUrl")).alias("download_url"))
+    return rows.filter("file_id is not null")
+
+
 def bridge(results: DataFrame) -> DataFrame:
     """doc_id, ok, lossy, warnings, errors, body, error: failures stay in band."""
     count = lambda s: F.size(F.filter("diagnostics", lambda d: d["severity"] == s))

@@ -17,3 +17,8 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["analyze", good, "--select", "outline"]) == 0 and json.loads(capsys.readouterr().out)["outline"][0]["anchor"] == "h"
     assert main(["analyze", good, "--select", "odd"]) == 2 and main(["odd"]) == 2
     assert main(["convert", str(tmp_path / "none.json")]) == 1
+    capsys.readouterr()
+    assert main(["analyze", good, "--format", "text", "--select", "outline,pageRefs"]) == 0 and capsys.readouterr().out == "outline:\n  H1 H (#h)\npageRefs (0): none\n"
+    assert main(["analyze", good, "--select", "referencedFileIds"]) == 0 and json.loads(capsys.readouterr().out) == {"referencedFileIds": []}
+    assert main(["convert", good, "--json"]) == 0 and list(json.loads(capsys.readouterr().out)) == ["body", "wasLossy", "diagnostics", "metadata", "unresolved"]
+    assert main(["validate", bad, "--json"]) == 3 and json.loads(capsys.readouterr().out)["validAdfRoot"] is False
