@@ -471,7 +471,11 @@ def stream_convert(spark, sf_dir):
     """The same rows as render_paragraphs, through a file stream that ends with its input."""
     from docspark.streaming import convert as stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp()
     place = f"{base.rstrip('/')}/docspark-stream-{uuid.uuid4().hex}"
     hostile(spark, sf_dir).write.mode("overwrite").parquet(f"{place}/in")
     stream.write(stream.converted(stream.read(spark, f"{place}/in")), f"{place}/out", f"{place}/state").awaitTermination()
