@@ -48,6 +48,11 @@ LEAST = 40
 BINS = 50
 
 
+SPAN = "struct<s:int,e:int,m:string,n:int>"
+#: Matches that one fold adds up.
+PART = 256
+
+
 def located(text: Column, pattern: str, least: int | None = None) -> Column:
     """array<struct<s, e, m>>: leftmost non-overlapping matches with their code points.
 
@@ -57,7 +62,6 @@ def located(text: Column, pattern: str, least: int | None = None) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
-    start = F.array().cast("array<struct<s:int,e:int,m:string,n:int>>")
     steps = F.zip_with(
         F.slice(gaps, 1, F.size(found)), F.zip_with(found, value, lambda m, v: F.struct(m.alias("m"), F.length(v).alias("n"))), lambda g, m: F.struct(g.alias("g"), m["m"].alias("m"), m["n"].alias("n"))
     )
@@ -67,7 +71,19 @@ def located(text: Column, pattern: str, least: int | None = None) -> Column:
         end = begin + F.length(x["m"])
         return F.struct(end.cast("int").alias("at"), F.concat(state["out"], F.array(F.struct(begin.cast("int").alias("s"), end.cast("int").alias("e"), x["m"].alias("m"), x["n"].cast("int").alias("n")))).alias("out"))
 
-    spans = F.aggregate(steps, F.struct(F.lit(0).cast("int").alias("at"), start.alias("out")), add, lambda state: state["out"])
+    # a fold copies what it has found so far with each match, so it runs over parts of PART matches, and then over the parts' lengths
+    def by_part(c: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c["steps"]) / PART).cast("int") - 1, F.lit(0)))
+        empty = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.transform(parts, lambda i: F.aggregate(F.slice(c["steps"], i * PART + 1, F.lit(PART)), empty, add))
+
+    def shifted(parts: Column) -> Column:
+        begins = F.aggregate(parts, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array((F.element_at(s, -1) + x["at"]).cast("int"))))
+        moved = lambda x, by: F.struct((x["s"] + by).cast("int").alias("s"), (x["e"] + by).cast("int").alias("e"), x["m"].alias("m"), x["n"].alias("n"))
+        return F.flatten(F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), lambda x, by: F.transform(x["out"], lambda y: moved(y, by))))
+
+    # bound by transforming arrays of one element, so that each step is evaluated once
+    spans = F.element_at(F.transform(F.transform(F.array(F.struct(steps.alias("steps"))), by_part), shifted), 1)
     return F.filter(spans, lambda x: x["n"] >= least) if least else spans
 
 
@@ -75,9 +91,6 @@ def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-SPAN = "struct<s:int,e:int,m:string,n:int>"
-
-
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal, by the polynomial approximation of Abramowitz and Stegun, 26.2.17."""
     t = 1 / (1 + F.lit(0.2316419) * F.abs(z))
@@ -96,32 +109,42 @@ def randomness(token: Column) -> Column:
         alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), c["enc"] + 1)
         size = F.length(alphabet)
         plain = F.when(c["enc"].isin(0, 2), F.lower(c["token"])).otherwise(F.translate(c["token"], "-_", "+/"))
-        return F.struct(c["enc"].alias("enc"), size.cast("double").alias("m"), F.transform(F.split(plain, ""), lambda x: F.instr(alphabet, x).cast("double") - 1).alias("x"))
+        return F.struct(c["enc"].alias("enc"), size.cast("double").alias("m"), F.filter(F.transform(F.split(plain, ""), lambda x: F.instr(alphabet, x).cast("double") - 1), lambda v: v >= 0).alias("x"))
+
+    def pairs(c: Column) -> Column:
+        x = c["x"]
+        neighbours = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.struct(c["enc"].alias("enc"), c["m"].alias("m"), x.alias("x"), neighbours.alias("pairs"))
 
     def tests(c: Column) -> Column:
-        x, m = F.filter(c["x"], lambda v: v >= 0), c["m"]
-        n = F.size(x).cast("double")
-        ordered = F.array_sort(x)
+        m, mean = c["m"], (c["m"] - 1) / 2
+        n = F.size(c["x"]).cast("double")
         # sum over symbols of count^2 = n + 2 * pairs of equal symbols; equal ones are neighbours when sorted
         squares = F.aggregate(
-            ordered, F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
+            F.array_sort(c["x"]), F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
             lambda s, v: F.struct(v.alias("last"), F.when(v == s["last"], s["run"] + 1).otherwise(1.0).alias("run"), (s["sum"] + 2 * F.when(v == s["last"], s["run"] + 1).otherwise(1.0) - 1).alias("sum")),
             lambda s: s["sum"],
         )
-        chi = squares * m / n - n
-        z1 = (chi - (m - 1)) / F.sqrt(2 * (m - 1) * (1 - 1 / n))
-        mean = (m - 1) / 2
-        pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when((p["a"] > mean) != (p["b"] > mean), 1.0).otherwise(0.0))
+        z1 = (squares * m / n - n - (m - 1)) / F.sqrt(2 * (m - 1) * (1 - 1 / n))
+        runs = F.aggregate(c["pairs"], F.lit(0.0), lambda s, p: s + F.when((p["a"] > mean) != (p["b"] > mean), 1.0).otherwise(0.0))
         z2 = F.abs(runs - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-        serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
+        serial = F.aggregate(c["pairs"], F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
         z3 = F.abs(serial / ((m * m - 1) / 12)) / F.sqrt(n - 1)
-        fisher = -2 * (F.log(upper_tail(z1)) + F.log(F.least(2 * upper_tail(z2), F.lit(1.0))) + F.log(F.least(2 * upper_tail(z3), F.lit(1.0))))
-        return F.struct(c["enc"].alias("enc"), (F.exp(-fisher / 2) * (1 + fisher / 2 + fisher * fisher / 8)).alias("p"))
+        return F.struct(c["enc"].alias("enc"), F.array(z1, z2, z3).alias("z"))
+
+    def fisher(c: Column) -> Column:
+        # the chi-squared test has one side, the others have two
+        logs = F.transform(c["z"], lambda z, i: F.log(F.least(upper_tail(z) * F.when(i == 0, 1.0).otherwise(2.0), F.lit(1.0))))
+        return F.struct(c["enc"].alias("enc"), (-2 * F.aggregate(logs, F.lit(0.0), lambda s, x: s + x)).alias("f"))
+
+    def chance(c: Column) -> Column:
+        return F.struct(c["enc"].alias("enc"), (F.exp(-c["f"] / 2) * (1 + c["f"] / 2 + c["f"] * c["f"] / 8)).alias("p"))
 
     # each step once: bind values by transforming arrays of one element
-    step = F.transform(F.array(F.struct(enc.alias("enc"), token.alias("token"))), of_parts)
-    return F.element_at(F.transform(step, tests), 1)
+    step = F.array(F.struct(enc.alias("enc"), token.alias("token")))
+    for then in (of_parts, pairs, tests, fisher, chance):
+        step = F.transform(step, then)
+    return F.element_at(step, 1)
 
 
 def stratum(enc: Column, length: Column) -> Column:
@@ -185,7 +208,22 @@ def report(scanned: DataFrame, least: dict[int, float]) -> DataFrame:
 
     base = F.concat(*[F.transform(k, kind(i)) for i, k in enumerate(KINDS[:3])])
     limit = F.create_map(*[F.lit(v) for g, p in least.items() for v in (g, p)]) if least else F.create_map(F.lit(-1), F.lit(1.0))
-    random = F.filter("candidates", lambda x: (x["p"] >= F.coalesce(limit[x["g"]], F.lit(1.0))) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    likely = F.filter("candidates", lambda x: x["p"] >= F.coalesce(limit[x["g"]], F.lit(1.0)))
+
+    # candidates are in order; PART of them at a time are held against the base spans between the first and the last
+    def by_part(c: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c["all"]) / PART).cast("int") - 1, F.lit(0)))
+        return F.transform(parts, lambda i: F.slice(c["all"], i * PART + 1, F.lit(PART)))
+
+    def with_base(part: Column) -> Column:
+        first, last = F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)
+        return F.struct(part.alias("part"), F.filter("base", lambda b: (b["s"] < last["e"]) & (b["e"] > first["s"])).alias("near"))
+
+    def outside(x: Column) -> Column:
+        return F.filter(x["part"], lambda c: ~F.exists(x["near"], lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"])))
+
+    parts = F.element_at(F.transform(F.array(F.struct(likely.alias("all"))), by_part), 1)
+    random = F.flatten(F.transform(F.transform(parts, with_base), outside))
     return (
         scanned.withColumn("base", F.sort_array(base))
         .withColumn("random", F.transform(random, kind(3)))

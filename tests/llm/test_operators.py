@@ -51,6 +51,14 @@ def test_secrets(spark, edge_docs, no_docs, scratch):
     assert secret_scan.find_secrets(no_docs, shared.Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("number", [1, 255, 256, 257, 512, 20_000])
+def test_texts_of_many_secrets(spark, scratch, number):
+    """Positions go on across the parts of a fold, and many matches in one text take no time that grows with their square."""
+    text = "".join(f"né{'x' * (i % 5)} token={'v' * (5 + i % 3)}; {'0a' * 12} AKIA{'Q' * 16} 😀\n" for i in range(number))
+    found = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), scratch).select("base.s", "base.k", "base.e").collect()[0]
+    assert list(zip(*found, strict=True)) == plain_secrets(text)
+
+
 def test_randomness(spark, scratch):
     r = random.Random(5)
     kinds = {0: lambda: "".join(r.choices("0123456789abcdef", k=22)), 1: lambda: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=36)), 2: lambda: f"chapter-{r.randint(1, 99)}-introduction-to-the-history", 3: lambda: f"notes_version_20{r.randint(10, 30)}_draft_final"}
