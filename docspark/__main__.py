@@ -42,7 +42,7 @@ def main(argv: list[str]) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from docspark.operators import convert, parse
+    from docspark.operators import analyze, convert, parse
     from docspark.plans import render
     from docspark.plans.session import ship
     from docspark.sources import lookups
@@ -62,7 +62,7 @@ def main(argv: list[str]) -> int:
         try:
             sections = tuple(s for s in a.select.split(",") if s) or convert.SECTIONS
             make = convert.metadata if a.format == "json" else convert.metadata_report
-            found = make(parse.nodes(docs).persist(), docs, sections)
+            found = make(parse.nodes(docs, analyze.FIELDS).persist(), docs, sections)
         except ValueError as e:
             print(e, file=sys.stderr)
             return 2
@@ -86,7 +86,7 @@ def main(argv: list[str]) -> int:
             print(f"a lookup file: {e}", file=sys.stderr)
             return 2
         hooks = convert.Hooks(media_template=a.media_template, attachment_template=a.attachment_template, page_template=a.page_template, extension_templates=templates)
-        found = convert.convert(convert.with_lookups(docs, parse.nodes(docs), tables), options, hooks)
+        found = convert.convert(convert.with_lookups(docs, parse.nodes(docs, analyze.FIELDS), tables), options, hooks)
         code = convert.exit_code(found, "lossy" if a.fail_on_lossy else "warning" if a.fail_on_warning else None)
     if a.output:
         lookups.write_results(found, a.output)
@@ -95,7 +95,7 @@ def main(argv: list[str]) -> int:
         broken = found.filter("error is not null").select("error")
         for row in broken.toLocalIterator():
             print(row["error"], file=sys.stderr)
-        found = convert.to_json(found.filter("error is null"), convert.metadata(parse.nodes(docs), docs, options=options))
+        found = convert.to_json(found.filter("error is null"), convert.metadata(parse.nodes(docs, analyze.FIELDS), docs, options=options))
     elif a.command == "validate" and a.json:
         found = parse.parse_results(docs)
     for row in found.toLocalIterator():

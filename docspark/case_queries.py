@@ -234,7 +234,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
  || '![pic.png](media:b' || p_partkey || ')' || chr(10) || chr(10) || '[ Doc.PDF ](http://d/' || p_partkey || ')' as body from part""")
 def render_attachments(spark, sf_dir):
     docs = documents(spark, sf_dir, [macro("attachments"), macro("viewpdf", name="DOC.pdf"), node("mediaSingle", node("media", id="b§k")), node("mediaSingle", node("media", id="a§k"))])
-    return convert.convert(convert.with_lookups(docs, parse.nodes(docs), convert.Tables(attachments=inventory(spark, sf_dir)))).select("doc_id", "body")
+    return convert.convert(convert.with_lookups(docs, parse.nodes(docs, analyze.FIELDS), convert.Tables(attachments=inventory(spark, sf_dir)))).select("doc_id", "body")
 
 
 FILES = [macro("attachments"), node("mediaSingle", node("media", id="m§s", __fileName="a.png")), macro("viewpdf", name="doc.pdf"), p({"type": "inlineExtension", "attrs": {"extensionType": tree.MACRO, "extensionKey": "inline-media-image", "parameters": {"macroParams": {}}}})]
@@ -243,13 +243,13 @@ FILES = [macro("attachments"), node("mediaSingle", node("media", id="m§s", __fi
 @query("""with f as (select p_partkey doc_id, unnest(['A' || p_partkey, 'b' || p_partkey, 'm' || p_size]) file_id, unnest([0, 1, 2]) as ord, unnest(['Doc.PDF', 'pic.png', 'a.png']) title from part)
 select doc_id, ord::int as ord, file_id, title from f""")
 def attachment_expansion(spark, sf_dir):
-    nodes = parse.nodes(documents(spark, sf_dir, FILES))
+    nodes = parse.nodes(documents(spark, sf_dir, FILES), analyze.FIELDS)
     return analyze.attachment_refs(nodes, inventory(spark, sf_dir)).select("doc_id", "ord", "file_id", "title")
 
 
 @query("""select p_partkey as doc_id, 'A' || p_partkey || ',b' || p_partkey || ',m' || p_size as ids from part""")
 def referenced_file_ids(spark, sf_dir):
-    found = analyze.referenced_file_ids(parse.nodes(documents(spark, sf_dir, FILES)), inventory(spark, sf_dir))
+    found = analyze.referenced_file_ids(parse.nodes(documents(spark, sf_dir, FILES), analyze.FILE_FIELDS), inventory(spark, sf_dir))
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "file_id"))).alias("a")).select("doc_id", F.array_join(F.col("a.file_id"), ",").alias("ids"))
 
 
@@ -265,19 +265,19 @@ RICH_DOCUMENT = [
 
 @query("""select p_partkey as doc_id, 'Part  ' || p_partkey || '|1|part--' || p_partkey || ';a B!|2|a-b;c d|2|own' || p_partkey as heads from part""")
 def heading_texts(spark, sf_dir):
-    heads = analyze.outline(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT)))
+    heads = analyze.outline(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), analyze.FIELDS))
     line = F.concat_ws("|", "text", F.col("level").cast("string"), "anchor")
     return heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))).alias("a")).select("doc_id", F.array_join(F.col("a.line"), ";").alias("heads"))
 
 
 @query("""select p_partkey as doc_id, unnest(['pagetree', 'children']) as macro, unnest(['R' || p_partkey, null]) as root, unnest([0, 2])::int as depth, unnest([false, true]) as all_levels from part""")
 def page_tree_refs(spark, sf_dir):
-    return analyze.page_tree_refs(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT))).select("doc_id", "macro", "root", F.coalesce("depth", F.lit(0)).alias("depth"), "all_levels")
+    return analyze.page_tree_refs(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), analyze.FIELDS)).select("doc_id", "macro", "root", F.coalesce("depth", F.lit(0)).alias("depth"), "all_levels")
 
 
 @query("""select p_partkey as doc_id, p_partkey::varchar || ',c77' as pages, 'http://e/' || p_size || ',http://img/' || p_partkey || '.png' as urls from part""")
 def page_and_external_refs(spark, sf_dir):
-    nodes = parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT)).persist()
+    nodes = parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), analyze.FIELDS).persist()
     listed = lambda df, c, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", c))).alias("a")).select("doc_id", F.array_join(F.col(f"a.{c}"), ",").alias(name))
     return listed(analyze.page_refs(nodes), "page_node_id", "pages").join(listed(analyze.external_refs(nodes), "url", "urls"), "doc_id")
 
@@ -293,7 +293,7 @@ JSON_SECTIONS = sql_text(
 @query(f"select p_partkey as doc_id, {JSON_SECTIONS} as json from part")
 def metadata_sections(spark, sf_dir):
     docs = documents(spark, sf_dir, RICH_DOCUMENT)
-    return convert.metadata(parse.nodes(docs).persist(), docs)
+    return convert.metadata(parse.nodes(docs, analyze.FIELDS).persist(), docs)
 
 
 TEXT_SECTIONS = sql_text(
@@ -305,8 +305,8 @@ TEXT_SECTIONS = sql_text(
 @query(f"select p_partkey as doc_id, {TEXT_SECTIONS} as report from part union all select -1 - p_partkey, 'pageRefs (0): none\n' from part")
 def metadata_report(spark, sf_dir):
     docs, bare = documents(spark, sf_dir, RICH_DOCUMENT), documents(spark, sf_dir, [p("x")])
-    empty = convert.metadata_report(parse.nodes(bare), bare, ("pageRefs",)).select((-1 - F.col("doc_id")).alias("doc_id"), "report")
-    return convert.metadata_report(parse.nodes(docs).persist(), docs).unionByName(empty)
+    empty = convert.metadata_report(parse.nodes(bare, analyze.FIELDS), bare, ("pageRefs",)).select((-1 - F.col("doc_id")).alias("doc_id"), "report")
+    return convert.metadata_report(parse.nodes(docs, analyze.FIELDS).persist(), docs).unionByName(empty)
 
 
 WHOLE = sql_text(
@@ -319,7 +319,7 @@ WHOLE = sql_text(
 def whole_results(spark, sf_dir):
     docs = documents(spark, sf_dir, [p('§k "q"'), macro("k", ext="t"), macro("children"), macro("excerpt-include", **{"": "P§s"})])
     linked = documents(spark, sf_dir, [p(text("l", link("/pages/§k")))])
-    return convert.to_json(convert.convert(docs), convert.metadata(parse.nodes(linked), linked, ("pageRefs",)))
+    return convert.to_json(convert.convert(docs), convert.metadata(parse.nodes(linked, analyze.FIELDS), linked, ("pageRefs",)))
 
 
 @query("""select p_partkey as doc_id, '{"validAdfRoot":' || case when p_partkey % 2 = 0 then 'true,"issues":[{"code":"UNSUPPORTED_VERSION","severity":"WARNING","message":"ADF version must be 1."}]}' else 'false,"issues":[{"code":"INVALID_CONTENT","severity":"ERROR","message":"ADF root must contain array field ''content''."}]}' end as json from part""")
@@ -407,5 +407,5 @@ def messages(spark, sf_dir):
     sent = docs.select("doc_id", F.when(k == 2, "other").otherwise("convert").alias("type"), F.when(k == 3, "https://evil.net/wiki/").otherwise("https://a.atlassian.net/wiki/x").alias("sender_url"), F.col("adf").alias("payload"), context.alias("context"))
     fit = lookups.valid_messages(sent)
     own = fit.select("doc_id", F.col("payload").alias("adf"))
-    known = convert.with_lookups(own, parse.nodes(own), convert.Tables(attachments=lookups.context_inventory(fit)))
+    known = convert.with_lookups(own, parse.nodes(own, analyze.FIELDS), convert.Tables(attachments=lookups.context_inventory(fit)))
     return convert.convert(known).select("doc_id", "body")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from docspark.functions import text as t
 from docspark.plans import tree
 
+#: Columns of the node table that the relations below read, all of them and those of files only.
+FIELDS = ("doc_id", "path", "type", "known", "text", "level", "anchor", "links", "file", "ext_type", "ext_key", "params", "person", "unknown_marks")
+FILE_FIELDS = ("doc_id", "path", "file", "ext_type", "ext_key", "params")
 #: URLs of pages, the page id in the group (fixed value).
 PAGE_URL = r"(?i)^(?:https?://[^/]+)?(?:/wiki)?(?:/spaces/[^/]+)?/pages/(?:edit-v\d+/)?(\d+)(?:/[^?#]*)?(?:\?.*)?(?:#.*)?$"
 #: JVM white space at either end (fixed value).
@@ -54,11 +57,18 @@ def toc_levels(nodes: DataFrame) -> DataFrame:
     return tocs.select("doc_id", F.explode(F.sequence(cut(low), cut(high))).alias("level")).distinct()
 
 
-def _links(nodes: DataFrame) -> DataFrame:
-    one = nodes.filter(F.size("links") > 0).select("doc_id", "path", F.posexplode("links").alias("i", "l"))
+def _links(nodes: DataFrame, media: bool = False) -> DataFrame:
+    """doc_id, path, i, url, page (null: external) of links, in one pass; with ``media`` the URLs of external media follow a node's links."""
+    links = F.transform("links", lambda x: F.struct(x["url"].alias("url"), x["page"].alias("page"), F.lit(False).alias("media")))
+    some = F.size("links") > 0
+    if media:
+        external = F.coalesce(F.lower(clean(F.col("file.type"))) == "external", F.lit(False))
+        own = F.struct(F.col("file.url").alias("url"), F.lit(None).cast("string").alias("page"), F.lit(True).alias("media"))
+        links, some = F.when(external, F.concat(links, F.array(own))).otherwise(links), some | external
+    one = nodes.filter(some).select("doc_id", "path", F.posexplode(links).alias("i", "l"))
     url = clean(F.col("l.url"))
-    page = F.coalesce(F.nullif(F.regexp_extract(url, PAGE_URL, 1), F.lit("")), F.col("l.page"))
-    return one.select("doc_id", "path", "i", url.alias("url"), page.alias("page")).filter("url is not null and url <> '#'")
+    page = F.when(~F.col("l.media"), F.coalesce(F.nullif(F.regexp_extract(url, PAGE_URL, 1), F.lit("")), F.col("l.page")))
+    return one.filter(url.isNotNull() & (F.col("l.media") | (url != "#"))).select("doc_id", "path", "i", url.alias("url"), page.alias("page"))
 
 
 def _first_seen(df: DataFrame, *values: str) -> DataFrame:
@@ -71,8 +81,7 @@ def page_refs(nodes: DataFrame) -> DataFrame:
 
 
 def external_refs(nodes: DataFrame) -> DataFrame:
-    media = nodes.filter(F.lower(clean(F.col("file.type"))) == "external").select("doc_id", "path", F.lit(1_000_000).alias("i"), clean(F.col("file.url")).alias("url")).filter("url is not null")
-    return _first_seen(_links(nodes).filter("page is null").select("doc_id", "path", "i", "url").unionByName(media), "url")
+    return _first_seen(_links(nodes, media=True).filter("page is null"), "url")
 
 
 def mention_refs(nodes: DataFrame) -> DataFrame:
@@ -89,14 +98,11 @@ def media_type(name: Column) -> Column:
 
 def attachment_refs(nodes: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     """doc_id, ord, file_id, title, media_type: first-seen order, the last title and type that aren't blank."""
-    f = lambda k: clean(F.col(f"file.{k}"))
-    title = F.coalesce(f("file_name"), f("name"), f("alt"))
-    seen = nodes.filter("file is not null").select("doc_id", "path", F.lit(0).alias("i"), F.coalesce(f("id"), f("local_id")).alias("file_id"), title.alias("title"), F.coalesce(f("mime"), f("media_type"), media_type(title), f("type")).alias("media_type")).filter("file_id is not null")
+    seen = _files(nodes.filter(F.col("file").isNotNull() | is_macro("viewpdf")), inventory)
     if inventory is not None:
         own = valid_inventory(inventory)
         listed = nodes.filter(is_macro("attachments")).select("doc_id", "path").join(own, "doc_id").select("doc_id", "path", F.col("ord").alias("i"), "file_id", clean(F.col("title")).alias("title"), clean(F.col("media_type")).alias("media_type"))
         seen = seen.unionByName(listed)
-    seen = seen.unionByName(viewed(nodes, inventory))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("path", "i"))).alias(c)
     return numbered(seen.groupBy("doc_id", "file_id").agg(F.min(F.struct("path", "i")).alias("path"), last("title"), last("media_type")))
 
@@ -114,16 +120,28 @@ def valid_inventory(inventory: DataFrame) -> DataFrame:
 
 def viewed(nodes: DataFrame, inventory: DataFrame | None) -> DataFrame:
     """Files that viewpdf macros show: by title in the inventory, else by the ids they carry."""
+    return _files(nodes.filter(is_macro("viewpdf")), inventory)
+
+
+def _files(shown: DataFrame, inventory: DataFrame | None) -> DataFrame:
+    """doc_id, path, i, file_id, title, media_type of media nodes by what they carry, and of viewpdf macros; one pass over the nodes for both."""
+    f = lambda k: clean(F.col(f"file.{k}"))
     p = lambda k: F.col("params")[k]
-    shown = nodes.filter(is_macro("viewpdf")).select("doc_id", "path", F.lit(0).alias("i"), p("name").alias("name"), F.coalesce(F.nullif(p("fileId"), F.lit("")), F.nullif(p("id"), F.lit("")), F.nullif(p("attachmentId"), F.lit(""))).alias("own_id"))
-    shown = shown.withColumn("title_key", F.lower(clean(F.col("name"))))
+    carried = F.coalesce(f("file_name"), f("name"), f("alt"))
+    kind = F.coalesce(f("mime"), f("media_type"), media_type(carried), f("type"))
+    media = F.when(F.col("file").isNotNull(), F.struct(F.coalesce(f("id"), f("local_id")).alias("file_id"), carried.alias("title"), kind.alias("media_type")))
+    own_id = F.coalesce(*[F.nullif(p(k), F.lit("")) for k in ("fileId", "id", "attachmentId")])
+    rows = shown.select("doc_id", "path", F.lit(0).alias("i"), media.alias("media"), p("name").alias("name"), own_id.alias("own_id"))
+    rows = rows.withColumn("title_key", F.when(F.col("media").isNull(), F.lower(clean(F.col("name")))))
     if inventory is not None:
-        known = valid_inventory(inventory).select("doc_id", "title_key", F.col("file_id").alias("known_id"), F.col("title").alias("known_title"), F.col("media_type").alias("known_type"))
-        shown = shown.join(known, ["doc_id", "title_key"], "left")
+        known = valid_inventory(inventory).select("doc_id", "title_key", F.struct("file_id", "title", "media_type").alias("known"))
+        rows = rows.join(known, ["doc_id", "title_key"], "left")
     else:
-        shown = shown.select("*", *[F.lit(None).cast("string").alias(c) for c in ("known_id", "known_title", "known_type")])
-    hit = F.col("known_id").isNotNull()
-    return shown.select("doc_id", "path", "i", F.coalesce("known_id", "own_id").alias("file_id"), clean(F.when(hit, F.col("known_title")).otherwise(F.col("name"))).alias("title"), clean(F.when(hit, F.col("known_type")).otherwise(media_type(F.col("name")))).alias("media_type")).filter("file_id is not null")
+        rows = rows.withColumn("known", F.lit(None).cast("struct<file_id:string,title:string,media_type:string>"))
+    known_file = F.struct(F.coalesce("known.file_id", "own_id").alias("file_id"), clean(F.col("known.title")).alias("title"), clean(F.col("known.media_type")).alias("media_type"))
+    named_file = F.struct(F.col("own_id").alias("file_id"), clean(F.col("name")).alias("title"), clean(media_type(F.col("name"))).alias("media_type"))
+    found = F.when(F.col("media").isNotNull(), F.col("media")).when(F.col("known.file_id").isNotNull(), known_file).otherwise(named_file)
+    return rows.select("doc_id", "path", "i", found.alias("x")).select("doc_id", "path", "i", "x.*").filter("file_id is not null")
 
 
 def page_tree_refs(nodes: DataFrame) -> DataFrame:

@@ -66,15 +66,15 @@ NODES = pa.schema(
         ("params", pa.map_(pa.string(), pa.string())), ("person", pa.string()), ("unknown_marks", pa.int32()), ("attrs", pa.string()), ("raw", pa.string()),
     ]
 )
-NODES_DDL = (
+_DDL = (
     "doc_id bigint, path array<int>, ord int, depth int, kind string, type string, known boolean, text string, level int, anchor string, links array<struct<url:string,page:string>>, file struct<"
     + ",".join(f"{k}:string" for k in tree.MEDIA)
     + ">, ext_type string, ext_key string, params map<string,string>, person string, unknown_marks int, attrs string, raw string"
 )
 
 
-def node_row(doc_id: int, order: int, path: tuple[int, ...], n: tree.Node) -> dict:
-    """A node as a row; links and pages as analysis reads them, headings with their text and explicit anchor."""
+def node_row(doc_id: int, order: int, path: tuple[int, ...], n: tree.Node, attributes: bool = True) -> dict:
+    """A node as a row; links and pages as analysis reads them, headings with their text and explicit anchor; attrs only with ``attributes``."""
     a = n.attrs
     links = [(tree.string(m.attrs.get("href")), m.attrs) for m in n.marks if m.type == "link"] if n.type in ("text", "media", "mediaInline") else []
     if n.known and n.type in tree.CARDS:
@@ -88,26 +88,34 @@ def node_row(doc_id: int, order: int, path: tuple[int, ...], n: tree.Node) -> di
         "links": [{"url": u, "page": t.first_clean(*(tree.string(metadata(x).get(k)) for k in ("pageId", "contentId", "id")))} for u, x in links],
         "file": tree.media(n) if n.known else None, "ext_type": tree.string(a.get("extensionType")) if macro else None, "ext_key": tree.string(a.get("extensionKey")) if macro else None,
         "params": list(tree.macro_params(n).items()) if macro else None, "person": t.first_clean(tree.string(a.get("id")), tree.string(a.get("localId"))) if n.type == "mention" else None,
-        "unknown_marks": sum(not m.known for m in n.marks), "attrs": tree.dump(a) if a else None, "raw": n.raw,
+        "unknown_marks": sum(not m.known for m in n.marks) if n.marks else 0, "attrs": tree.dump(a) if a and attributes else None, "raw": n.raw,
     }
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """The node table of docs (doc_id, adf); documents that can't be read have no nodes."""
+NODES_DDL = {c.partition(" ")[0]: c for c in _DDL.split(", ")}
+
+
+def nodes(docs: DataFrame, columns: tuple[str, ...] = tuple(NODES.names)) -> DataFrame:
+    """The node table of docs (doc_id, adf), or the columns of it that are asked for; documents that can't be read have no nodes.
+
+    Spark can't prune columns inside an Arrow function, so callers that read a few name them.
+    """
+    schema = pa.schema([NODES.field(c) for c in columns])
+    attributes = "attrs" in columns
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc_id, adf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks, _ = tree.parse(adf)
-                rows += [node_row(doc_id, i, path, n) for i, (path, n) in enumerate(tree.walk(blocks or []))]
+                rows += [node_row(doc_id, i, path, n, attributes) for i, (path, n) in enumerate(tree.walk(blocks or []))]
                 if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, NODES)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, NODES)
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "adf").mapInArrow(run, NODES_DDL)
+    return docs.select(F.col("doc_id").cast("bigint"), "adf").mapInArrow(run, ", ".join(NODES_DDL[c] for c in columns))
 
 
 def parse_results(docs: DataFrame) -> DataFrame:

@@ -677,9 +677,10 @@ def title_line(title: str | None, parens: bool) -> str | None:
 def lossiness(blocks: list[Node], policy: str) -> list[tuple[str, str, str]]:
     """Diagnostics (code, severity, message) of nodes and marks that Markdown can't show."""
     nodes = marks = 0
-    for _, n in tree.walk(blocks):
+    for n in tree.each(blocks):
         nodes += not n.known
-        marks += sum(not m.known for m in n.marks)
+        for m in n.marks:
+            marks += not m.known
     kinds = {
         "PLACEHOLDER": ("UNKNOWN_NODE_PLACEHOLDER", "WARNING", "rendered as placeholders; original content not represented."),
         "SKIP": ("UNKNOWN_NODE_SKIPPED", "WARNING", "dropped from the output."), "PRESERVE_RAW": ("UNKNOWN_NODE_PRESERVED", "INFO", "preserved as raw JSON."),

@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from docspark.functions import text as t
 
@@ -61,8 +62,11 @@ class Node:
     raw: str | None = None
 
 
+_ENCODER = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False)
+
+
 def dump(value) -> str:
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return _ENCODER.encode(value)
 
 
 def string(value) -> str | None:
@@ -136,14 +140,16 @@ def parse_node(x: dict, inline: bool) -> Node:
     return node
 
 
+_NO_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*+"|[^"\[\]{}]+', re.S)
+_STEP = bytes({0x5B: 1, 0x7B: 1, 0x5D: 255, 0x7D: 255}.get(c, 0) for c in range(256))
+
+
 def _too_deep(s: str) -> bool:
-    depth = 0
-    for m in re.finditer(r'"(?:[^"\\]|\\.)*+"|[\[{]|[\]}]', s, re.S):
-        c = m[0][0]
-        depth += (c in "[{") - (c in "]}")
-        if depth > DEPTH:
-            return True
-    return False
+    """Whether brackets outside strings nest beyond DEPTH; few brackets can't."""
+    if s.count("[") + s.count("{") <= DEPTH:
+        return False
+    steps = _NO_BRACKET.sub("", s).encode().translate(_STEP)
+    return max(accumulate(memoryview(steps).cast("b")), default=0) > DEPTH
 
 
 def _reject(name: str):
@@ -197,6 +203,15 @@ def walk(blocks: list[Node], path: tuple[int, ...] = ()) -> Iterator[tuple[tuple
         yield from walk(node.children, own)
 
 
+def each(blocks: list[Node]) -> Iterator[Node]:
+    """All nodes in document order."""
+    stack = blocks[::-1]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += node.children[::-1]
+
+
 # ---- readings of nodes
 
 
@@ -232,7 +247,8 @@ MIGRATION, MACRO, CHART = "com.atlassian.confluence.migration", "com.atlassian.c
 def media(node: Node) -> dict[str, str | None] | None:
     """Fields of a media node, or of the migration macro that stands for one; None for other nodes."""
     if node.type in ("media", "mediaInline"):
-        return {k: string(node.attrs.get(a)) for k, a in MEDIA.items()}
+        get = node.attrs.get
+        return {k: None if (v := get(a)) is None else string(v) for k, a in MEDIA.items()}
     if node.type in EXTENSIONS and string(node.attrs.get("extensionType")) == MIGRATION and string(node.attrs.get("extensionKey")) == "inline-media-image":
         p = node.attrs.get("parameters")
         own = {k: t.clean(string(p.get(k))) if not isinstance(p.get(k), bool) else None for k in ("id", "collection", "alt", "width", "height")} if isinstance(p, dict) else {}
@@ -334,7 +350,7 @@ def outline(blocks: list[Node]) -> tuple[list[tuple[int, str, str]], dict[int, t
     """Headings (level, text, anchor) in order, the same by node identity, and levels that tables of contents show."""
     entries, by_node, levels = [], {}, set()
     seen: dict[str, int] = {}
-    for _, n in walk(blocks):
+    for n in each(blocks):
         if n.type == "heading" and n.known:
             text = heading_text(n.children)
             if t.blank(text):

@@ -139,14 +139,14 @@ def plain(spark, sf_dir):
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) x from documents)
 select 'heading' as type, count(*)::bigint as n from documents union all select 'paragraph', count(*)::bigint from l union all select 'text', ((select count(*) from l) + count(*))::bigint from documents""")
 def node_census(spark, sf_dir):
-    return analyze.node_census(parse.nodes(plain(spark, sf_dir)))
+    return analyze.node_census(parse.nodes(plain(spark, sf_dir), ("doc_id", "type")))
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i from documents),
 n as (select doc_id, 0 i, 'heading' type, 0 depth from documents union all select doc_id, 0, 'text', 1 from documents union all select doc_id, i, 'paragraph', 0 from l union all select doc_id, i, 'text', 1 from l)
 select doc_id, depth, (row_number() over (partition by doc_id order by i, depth) - 1)::int as ord, type from n""")
 def node_paths(spark, sf_dir):
-    return parse.nodes(plain(spark, sf_dir)).select("doc_id", "depth", "ord", "type")
+    return parse.nodes(plain(spark, sf_dir), ("doc_id", "depth", "ord", "type"))
 
 
 # ---- analysis
@@ -157,7 +157,7 @@ def outline_levels(spark, sf_dir):
     level = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 9).otherwise(3)
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", node("heading", [text(F.col("role"))], attrs(level=level)).alias("h"))
     docs = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "h"))).alias("a")).select("doc_id", doc(F.transform("a", lambda x: x["h"])).alias("adf"))
-    return analyze.outline(parse.nodes(docs)).select("doc_id", "ord", "level", "text")
+    return analyze.outline(parse.nodes(docs, analyze.FIELDS)).select("doc_id", "ord", "level", "text")
 
 
 def brands(spark, sf_dir, extra: list[Column] = []):
@@ -173,7 +173,7 @@ o as (select doc_id, ord, level, p_name as text, base || case when n = 1 then ''
 
 @query(f"with {SLUGS} select doc_id, ord, level, text, anchor from o")
 def heading_slugs(spark, sf_dir):
-    return analyze.outline(parse.nodes(brands(spark, sf_dir))).select("doc_id", "ord", "level", "text", "anchor")
+    return analyze.outline(parse.nodes(brands(spark, sf_dir), analyze.FIELDS)).select("doc_id", "ord", "level", "text", "anchor")
 
 
 @query(f"""with {SLUGS}, m as (select doc_id, min(level) low from o where level between 2 and 4 group by doc_id)
@@ -199,24 +199,24 @@ def linked(spark, sf_dir):
 
 @query("select page_id as doc_id, 0 as ord, (page_id - page_id % 4)::varchar as page_node_id from pages where page_id % 4 < 3")
 def page_refs(spark, sf_dir):
-    return analyze.page_refs(parse.nodes(linked(spark, sf_dir)))
+    return analyze.page_refs(parse.nodes(linked(spark, sf_dir), analyze.FIELDS))
 
 
 @query("select page_id as doc_id, 0 as ord, url from pages where page_id % 4 = 3")
 def external_refs(spark, sf_dir):
-    return analyze.external_refs(parse.nodes(linked(spark, sf_dir)))
+    return analyze.external_refs(parse.nodes(linked(spark, sf_dir), analyze.FIELDS))
 
 
 @query("select page_id as doc_id, 0 as ord, (page_id - page_id % 4)::varchar as page_node_id from pages where page_id % 4 < 3 and (page_id - page_id % 4) % 3 <> 0")
 def unresolved_report(spark, sf_dir):
     known = table(spark, sf_dir, "pages").filter("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("page_node_id"), "url")
-    return analyze.broken_links(parse.nodes(linked(spark, sf_dir)), known).select("doc_id", "ord", "page_node_id")
+    return analyze.broken_links(parse.nodes(linked(spark, sf_dir), analyze.FIELDS), known).select("doc_id", "ord", "page_node_id")
 
 
 @query("""with e as (select page_id::varchar src, (page_id - page_id % 4)::varchar dst from pages where page_id % 4 < 3)
 select coalesce(i.page, o.page) as page, coalesce(n_in, 0)::bigint as n_in, coalesce(n_out, 0)::bigint as n_out from (select dst page, count(*) n_in from e group by 1) i full join (select src page, count(*) n_out from e group by 1) o on i.page = o.page""")
 def link_graph_degree(spark, sf_dir):
-    return analyze.degrees(analyze.link_graph(parse.nodes(linked(spark, sf_dir))))
+    return analyze.degrees(analyze.link_graph(parse.nodes(linked(spark, sf_dir), analyze.FIELDS)))
 
 
 def talks(spark, sf_dir):
@@ -228,7 +228,7 @@ def talks(spark, sf_dir):
 @query("""with m as (select conv_id doc_id, role mention_id, case when turn % 3 = 0 then '' else '@' || role end as text, min(turn) t from conversations group by 1, 2, 3)
 select doc_id, mention_id, text, (row_number() over (partition by doc_id order by t) - 1)::int as ord from m""")
 def mention_refs(spark, sf_dir):
-    return analyze.mention_refs(parse.nodes(talks(spark, sf_dir)))
+    return analyze.mention_refs(parse.nodes(talks(spark, sf_dir), analyze.FIELDS))
 
 
 @query("""select conv_id as doc_id, string_agg('@' || role, chr(10) || chr(10) order by turn) as body from conversations group by 1""")
@@ -249,7 +249,7 @@ def orders_media(spark, sf_dir):
 select doc_id, file_id, arg_max(title, n) filter (title is not null) as title, arg_max(case when title is not null then 'application/pdf' else 'file' end, n) as media_type,
  (row_number() over (partition by doc_id order by min(n)) - 1)::int as ord from m group by doc_id, file_id""")
 def attachment_refs_upsert(spark, sf_dir):
-    return analyze.attachment_refs(parse.nodes(orders_media(spark, sf_dir)))
+    return analyze.attachment_refs(parse.nodes(orders_media(spark, sf_dir), analyze.FILE_FIELDS))
 
 
 @query("""select o_orderkey as doc_id, '[PDF: P' || o_custkey || '](' || case when p_partkey is not null then 'http://f/' || p_partkey else 'attachment:x' || o_orderkey end || ')' as body from orders left join part on p_partkey = o_custkey""")
@@ -259,7 +259,7 @@ def attachment_join(spark, sf_dir):
     docs = o.select(F.col("o_orderkey").alias("doc_id"), key.alias("k"), doc([macro("viewpdf", {"name": F.concat(F.lit("P"), key), "fileId": F.concat(F.lit("x"), F.col("o_orderkey"))})]).alias("adf"))
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit(" p"), F.col("p_partkey"), F.lit(" ")).alias("title"), F.concat(F.lit("http://f/"), F.col("p_partkey")).alias("download_url"))
     inventory = docs.join(files, "k").select("doc_id", F.lit(0).alias("ord"), F.col("k").cast("string").alias("file_id"), "title", F.lit(None).cast("string").alias("media_type"), "download_url")
-    return bodies(convert.with_lookups(docs.drop("k"), parse.nodes(docs), convert.Tables(attachments=inventory))).select("doc_id", "body")
+    return bodies(convert.with_lookups(docs.drop("k"), parse.nodes(docs, analyze.FIELDS), convert.Tables(attachments=inventory))).select("doc_id", "body")
 
 
 @query("""with e as (select r_regionkey root, n_nationkey ord, 1 depth, n_name title from nation join region on r_regionkey = n_regionkey
@@ -271,7 +271,7 @@ def page_tree_expand(spark, sf_dir):
     below = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("root"), F.col("n_nationkey").alias("n"), F.lit(2).alias("depth"), F.col("s_name").alias("title"))
     entries = top.unionByName(below).select(F.lit("pagetree").alias("macro"), F.concat(F.lit("R"), F.col("root")).alias("root"), F.struct("n", "depth", "title").alias("ord"), "depth", "title", F.lit(None).cast("string").alias("page_node_id"))
     docs = nation.select("n_regionkey").distinct().select(F.col("n_regionkey").cast("bigint").alias("doc_id"), doc([macro("pagetree", {"root": F.concat(F.lit(" R"), F.col("n_regionkey"))})]).alias("adf"))
-    return bodies(convert.with_lookups(docs, parse.nodes(docs), convert.Tables(page_trees=entries))).select("doc_id", "body")
+    return bodies(convert.with_lookups(docs, parse.nodes(docs, analyze.FIELDS), convert.Tables(page_trees=entries))).select("doc_id", "body")
 
 
 @query("""select d.doc_id, case when d.doc_id % 2 = 0 then 'E ' || d.source else '\\[Excerpt include: D' || d.doc_id || ' / x\\]' end as body from (select distinct conv_id from conversations) c join documents d on d.doc_id = c.conv_id""")
@@ -282,7 +282,7 @@ def excerpt_resolve(spark, sf_dir):
     sources = d.select("doc_id", F.concat(F.lit("D"), F.col("doc_id")).alias("document_title"), F.when(F.col("doc_id") % 2 == 0, doc([body])).otherwise(doc([paragraph(text("none"))])).alias("adf"))
     asked = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(d.select("doc_id"), F.col("conv_id") == F.col("doc_id"))
     docs = asked.select("doc_id", doc([macro("excerpt-include", {"": F.concat(F.lit("D"), F.col("doc_id")), "name": "x"})]).alias("adf"))
-    return bodies(convert.with_lookups(docs, parse.nodes(docs), convert.Tables(excerpts=convert.corpus_excerpts(sources)))).select("doc_id", "body")
+    return bodies(convert.with_lookups(docs, parse.nodes(docs, analyze.FIELDS), convert.Tables(excerpts=convert.corpus_excerpts(sources)))).select("doc_id", "body")
 
 
 @query("""select doc_id, code, 'WARNING' as severity, k || case code when 'UNKNOWN_NODE_PLACEHOLDER' then ' unsupported node(s) rendered as placeholders; original content not represented.' else ' unsupported mark(s) dropped from the output.' end as message
@@ -291,7 +291,7 @@ def lossiness(spark, sf_dir):
     odd = lambda i: F.when(F.col("doc_id") % 3 > i, node("gadget", [paragraph(text("x"))]))
     marked = F.when(F.col("doc_id") % 5 == 0, paragraph(text(F.col("source"), "strong", "sparkle"))).otherwise(paragraph(text(F.col("source"))))
     docs = table(spark, sf_dir, "documents").select("doc_id", doc([odd(0), marked, odd(1)]).alias("adf"))
-    return analyze.lossiness(parse.nodes(docs)).select("doc_id", "code", "severity", "message")
+    return analyze.lossiness(parse.nodes(docs, analyze.FIELDS)).select("doc_id", "code", "severity", "message")
 
 
 @query("""with f as (select user_id doc_id, event_type k, min(event_id) e from events group by 1, 2)

@@ -52,6 +52,27 @@ def test_relations(spark, docs):
         assert [(r["text"], r["anchor"]) for r in analyze.outline(nodes).filter(F.col("doc_id") == doc_id).orderBy("ord").collect()] == [e[1:] for e in tree.outline(tree.parse(source)[0])[0]]
 
 
+def test_named_columns_serve_the_relations(spark, docs):
+    whole, some = parse.nodes(docs), parse.nodes(docs, analyze.FIELDS)
+    assert tuple(some.columns) == analyze.FIELDS
+    for relation in (analyze.outline, analyze.external_refs, analyze.mention_refs, analyze.page_tree_refs, analyze.lossiness):
+        assert sorted(map(str, relation(some).collect())) == sorted(map(str, relation(whole).collect()))
+    few = parse.nodes(docs, analyze.FILE_FIELDS)
+    assert rows(analyze.attachment_refs(few), "doc_id", "ord", "file_id") == [(2, 0, "f"), (2, 1, "z")]
+
+
+def test_external_media_come_with_links(spark):
+    image = lambda url: node("mediaSingle", node("media", type=" External ", url=url))
+    one = adf(image("http://m/1"), p(text("x", link("#")), text("y", link("http://m/2"))), image("/wiki/pages/7/T"), image(" "), image("#"), image("http://m/1"))
+    found = analyze.external_refs(parse.nodes(spark.createDataFrame([(1, one)], "doc_id bigint, adf string")))
+    assert rows(found, "ord", "url") == [(0, "http://m/1"), (1, "http://m/2"), (2, "/wiki/pages/7/T"), (3, "#")]
+
+
+@pytest.mark.parametrize(("text", "deep"), [("[" * 100 + "]" * 100, False), ("[" * 101 + "]" * 101, True), ("[" + "[]," * 500 + "[]]", False), ('["' + "[" * 500 + '"]', False), ('["\\"' + "[" * 500 + '"]', False), ("{" * 60 + '"' + "[" * 60, True)])
+def test_depth(text, deep):
+    assert tree._too_deep(text) == deep
+
+
 def test_lookups_by_join(spark, docs):
     nodes = parse.nodes(docs)
     tables = convert.Tables(
