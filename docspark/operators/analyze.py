@@ -129,19 +129,20 @@ def _files(shown: DataFrame, inventory: DataFrame | None) -> DataFrame:
     p = lambda k: F.col("params")[k]
     carried = F.coalesce(f("file_name"), f("name"), f("alt"))
     kind = F.coalesce(f("mime"), f("media_type"), media_type(carried), f("type"))
-    media = F.when(F.col("file").isNotNull(), F.struct(F.coalesce(f("id"), f("local_id")).alias("file_id"), carried.alias("title"), kind.alias("media_type")))
     own_id = F.coalesce(*[F.nullif(p(k), F.lit("")) for k in ("fileId", "id", "attachmentId")])
-    rows = shown.select("doc_id", "path", F.lit(0).alias("i"), media.alias("media"), p("name").alias("name"), own_id.alias("own_id"))
-    rows = rows.withColumn("title_key", F.when(F.col("media").isNull(), F.lower(clean(F.col("name")))))
+    medium, known = F.col("file").isNotNull(), F.col("known.file_id").isNotNull()
+    rows = shown.select("doc_id", "path", "file", p("name").alias("name"), own_id.alias("own_id"))
     if inventory is not None:
-        known = valid_inventory(inventory).select("doc_id", "title_key", F.struct("file_id", "title", "media_type").alias("known"))
-        rows = rows.join(known, ["doc_id", "title_key"], "left")
+        rows = rows.withColumn("title_key", F.when(~medium, F.lower(clean(F.col("name")))))
+        listed = valid_inventory(inventory).select("doc_id", "title_key", F.struct("file_id", "title", "media_type").alias("known"))
+        rows = rows.join(listed, ["doc_id", "title_key"], "left")
     else:
         rows = rows.withColumn("known", F.lit(None).cast("struct<file_id:string,title:string,media_type:string>"))
-    known_file = F.struct(F.coalesce("known.file_id", "own_id").alias("file_id"), clean(F.col("known.title")).alias("title"), clean(F.col("known.media_type")).alias("media_type"))
-    named_file = F.struct(F.col("own_id").alias("file_id"), clean(F.col("name")).alias("title"), clean(media_type(F.col("name"))).alias("media_type"))
-    found = F.when(F.col("media").isNotNull(), F.col("media")).when(F.col("known.file_id").isNotNull(), known_file).otherwise(named_file)
-    return rows.select("doc_id", "path", "i", found.alias("x")).select("doc_id", "path", "i", "x.*").filter("file_id is not null")
+    file_id = F.when(medium, F.coalesce(f("id"), f("local_id"))).otherwise(F.coalesce("known.file_id", "own_id"))
+    title = F.when(medium, carried).when(known, clean(F.col("known.title"))).otherwise(clean(F.col("name")))
+    kind = F.when(medium, kind).when(known, clean(F.col("known.media_type"))).otherwise(media_type(F.col("name")))
+    found = rows.select("doc_id", "path", F.lit(0).alias("i"), file_id.alias("file_id"), title.alias("title"), kind.alias("media_type"))
+    return found.filter("file_id is not null")
 
 
 def page_tree_refs(nodes: DataFrame) -> DataFrame:
