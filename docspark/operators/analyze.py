@@ -15,6 +15,13 @@ from docspark.plans import tree
 #: Columns of the node table that the relations below read, all of them and those of files only.
 FIELDS = ("doc_id", "path", "type", "known", "text", "level", "anchor", "links", "file", "ext_type", "ext_key", "params", "person", "unknown_marks")
 FILE_FIELDS = ("doc_id", "path", "file", "ext_type", "ext_key", "params")
+#: Columns and nodes that a relation reads, as parse.nodes takes them.
+PAGE_TREES = (("doc_id", "path", "ext_type", "ext_key", "params"), lambda n: n.type in tree.EXTENSIONS)
+LINKS = (("doc_id", "path", "links", "file"), lambda n: n.type in tree.CARDS or n.type in ("media", "mediaInline") or n.type == "text" and bool(n.marks))
+HEADINGS = (("doc_id", "path", "type", "known", "text", "level", "anchor"), lambda n: n.type == "heading")
+FILES = (FILE_FIELDS, lambda n: n.type in ("media", "mediaInline") or n.type in tree.EXTENSIONS)
+#: The same for all sections of the metadata.
+METADATA = (tuple(c for c in FIELDS if c != "unknown_marks"), lambda n: n.type == "mention" or any(of[1](n) for of in (PAGE_TREES, LINKS, HEADINGS)))
 #: URLs of pages, the page id in the group (fixed value).
 PAGE_URL = r"(?i)^(?:https?://[^/]+)?(?:/wiki)?(?:/spaces/[^/]+)?/pages/(?:edit-v\d+/)?(\d+)(?:/[^?#]*)?(?:\?.*)?(?:#.*)?$"
 #: JVM white space at either end (fixed value).
@@ -71,8 +78,13 @@ def _links(nodes: DataFrame, media: bool = False) -> DataFrame:
     return one.filter(url.isNotNull() & (F.col("l.media") | (url != "#"))).select("doc_id", "path", "i", url.alias("url"), page.alias("page"))
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """Dealt by document once, which serves the groups and windows within documents that follow."""
+    return df.repartition("doc_id")
+
+
 def _first_seen(df: DataFrame, *values: str) -> DataFrame:
-    found = df.groupBy("doc_id", *values).agg(F.min(F.struct("path", "i")).alias("path"))
+    found = by_document(df).groupBy("doc_id", *values).agg(F.min(F.struct("path", "i")).alias("path"))
     return numbered(found)
 
 
@@ -84,6 +96,14 @@ def external_refs(nodes: DataFrame) -> DataFrame:
     return _first_seen(_links(nodes, media=True).filter("page is null"), "url")
 
 
+def page_and_external_refs(nodes: DataFrame) -> DataFrame:
+    """doc_id, ord, page_node_id, url: the rows of page_refs (url null) and external_refs (page_node_id null), in one pass and one shuffle."""
+    url = F.when(F.col("page").isNull(), F.col("url")).alias("url")
+    found = by_document(_links(nodes, media=True).select("doc_id", "path", "i", F.col("page").alias("page_node_id"), url)).groupBy("doc_id", "page_node_id", "url").agg(F.min(F.struct("path", "i")).alias("path"))
+    within = Window.partitionBy("doc_id", F.col("url").isNull()).orderBy("path")
+    return found.select("doc_id", (F.row_number().over(within) - 1).cast("int").alias("ord"), "page_node_id", "url")
+
+
 def mention_refs(nodes: DataFrame) -> DataFrame:
     people = nodes.filter((F.col("type") == "mention") & F.col("known")).select("doc_id", "path", F.lit(0).alias("i"), F.col("person").alias("mention_id"), F.coalesce("text", F.lit("")).alias("text"))
     return _first_seen(people, "mention_id", "text")
@@ -101,10 +121,10 @@ def attachment_refs(nodes: DataFrame, inventory: DataFrame | None = None) -> Dat
     seen = _files(nodes.filter(F.col("file").isNotNull() | is_macro("viewpdf")), inventory)
     if inventory is not None:
         own = valid_inventory(inventory)
-        listed = nodes.filter(is_macro("attachments")).select("doc_id", "path").join(own, "doc_id").select("doc_id", "path", F.col("ord").alias("i"), "file_id", clean(F.col("title")).alias("title"), clean(F.col("media_type")).alias("media_type"))
+        listed = nodes.filter(is_macro("attachments")).select("doc_id", "path").join(own.hint("merge"), "doc_id").select("doc_id", "path", F.col("ord").alias("i"), "file_id", clean(F.col("title")).alias("title"), clean(F.col("media_type")).alias("media_type"))
         seen = seen.unionByName(listed)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("path", "i"))).alias(c)
-    return numbered(seen.groupBy("doc_id", "file_id").agg(F.min(F.struct("path", "i")).alias("path"), last("title"), last("media_type")))
+    return numbered(by_document(seen).groupBy("doc_id", "file_id").agg(F.min(F.struct("path", "i")).alias("path"), last("title"), last("media_type")))
 
 
 def referenced_file_ids(nodes: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
@@ -135,7 +155,7 @@ def _files(shown: DataFrame, inventory: DataFrame | None) -> DataFrame:
     if inventory is not None:
         rows = rows.withColumn("title_key", F.when(~medium, F.lower(clean(F.col("name")))))
         listed = valid_inventory(inventory).select("doc_id", "title_key", F.struct("file_id", "title", "media_type").alias("known"))
-        rows = rows.join(listed, ["doc_id", "title_key"], "left")
+        rows = rows.join(listed.hint("merge"), ["doc_id", "title_key"], "left")
     else:
         rows = rows.withColumn("known", F.lit(None).cast("struct<file_id:string,title:string,media_type:string>"))
     file_id = F.when(medium, F.coalesce(f("id"), f("local_id"))).otherwise(F.coalesce("known.file_id", "own_id"))

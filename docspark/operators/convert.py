@@ -157,17 +157,21 @@ def _url_map(refs: DataFrame, key: str, table: DataFrame, name: str) -> DataFram
 
 
 def with_lookups(docs: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame:
-    """docs with the lookup columns that its references need, by equi-joins on what the nodes refer to."""
+    """docs with the lookup columns that its references need, by equi-joins on what the nodes refer to.
+
+    Tables of a row or more for each document grow with the corpus, and Spark
+    takes them for much smaller than they are; so they are never broadcast.
+    """
     out = docs
     empty = {c: F.from_json(F.lit("{}" if k.startswith("map") else "[]"), k) for c, k in COLUMNS.items() if k != "string"}
 
     def add(found: DataFrame, name: str) -> None:
         nonlocal out
-        out = out.join(found, "doc_id", "left").withColumn(name, F.coalesce(name, empty[name]))
+        out = out.join(found.hint("merge"), "doc_id", "left").withColumn(name, F.coalesce(name, empty[name]))
 
     if tables.attachments is not None:
         rows = tables.attachments.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "file_id", "title", "media_type", "download_url"))).alias("a"))
-        out = out.join(rows, "doc_id", "left").withColumn("attachments", F.transform("a", lambda x: F.struct(x["file_id"].alias("file_id"), x["title"].alias("title"), x["media_type"].alias("media_type"), x["download_url"].alias("download_url")))).drop("a")
+        out = out.join(rows.hint("merge"), "doc_id", "left").withColumn("attachments", F.transform("a", lambda x: F.struct(x["file_id"].alias("file_id"), x["title"].alias("title"), x["media_type"].alias("media_type"), x["download_url"].alias("download_url")))).drop("a")
         if "attachments_supplied" in out.columns:
             out = out.withColumn("attachments", F.when(F.col("attachments_supplied"), F.coalesce("attachments", empty["attachments"])))
     if tables.pages is not None:
@@ -262,7 +266,7 @@ def to_json(results: DataFrame, known: DataFrame | None = None) -> DataFrame:
         F.transform("unresolved.page_trees", lambda x: F.struct(x["macro"].alias("macro"), x["root"].alias("root"))).alias("pageTreeRefs"),
         F.transform("unresolved.excerpts", lambda x: F.struct(x["page"].alias("page"), x["name"].alias("excerptName"))).alias("excerptRefs"),
     )
-    both = results.join(known.select("doc_id", F.col("json").alias("_metadata")), "doc_id", "left") if known is not None else results.withColumn("_metadata", F.lit(None).cast("string"))
+    both = results.join(known.select("doc_id", F.col("json").alias("_metadata")).hint("merge"), "doc_id", "left") if known is not None else results.withColumn("_metadata", F.lit(None).cast("string"))
     ends = F.to_json(F.struct("diagnostics"), plain), F.to_json(F.struct(unresolved.alias("unresolved")), plain)
     inner = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
     whole = F.concat(
@@ -319,10 +323,10 @@ def _section_rows(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...],
 def _by_section(nodes, docs, sections, inventory, options) -> tuple[DataFrame, Callable]:
     """docs' ids with a map from a section to its entries (json, line), and the entries of a section."""
     rows = _section_rows(nodes, docs, sections, inventory, options)
-    lists = rows.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("ord", "json", "line"))).alias("entries"))
+    lists = analyze.by_document(rows).groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("ord", "json", "line"))).alias("entries"))
     maps = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "entries"))).alias("of"))
     entry = lambda name, field: F.coalesce(F.transform(F.element_at("of", F.lit(name)), lambda x: x[field]), F.array().cast("array<string>"))
-    return docs.select("doc_id").join(maps, "doc_id", "left"), entry
+    return docs.select("doc_id").join(maps.hint("merge"), "doc_id", "left"), entry
 
 
 def metadata(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...] = SECTIONS, inventory: DataFrame | None = None, options: render.Options = render.Options()) -> DataFrame:

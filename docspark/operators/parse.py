@@ -7,7 +7,7 @@ per block or inline, in document order by ``path``.
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,47 +73,61 @@ _DDL = (
 )
 
 
-def node_row(doc_id: int, order: int, path: tuple[int, ...], n: tree.Node, attributes: bool = True) -> dict:
-    """A node as a row; links and pages as analysis reads them, headings with their text and explicit anchor; attrs only with ``attributes``."""
-    a = n.attrs
+def _links(n: tree.Node) -> list[dict]:
+    """Links of a node's marks, then of a card, each with the page that its metadata names."""
     links = [(tree.string(m.attrs.get("href")), m.attrs) for m in n.marks if m.type == "link"] if n.type in ("text", "media", "mediaInline") else []
     if n.known and n.type in tree.CARDS:
-        links.append((tree.card(n)[0], a))
+        links.append((tree.card(n)[0], n.attrs))
     metadata = lambda x: x.get("__confluenceMetadata") if isinstance(x.get("__confluenceMetadata"), dict) else {}
-    macro = n.known and n.type in tree.EXTENSIONS
-    return {
-        "doc_id": doc_id, "path": list(path), "ord": order, "depth": len(path) - 1, "kind": "inline" if n.inline else "block", "type": n.type, "known": n.known,
-        "text": tree.heading_text(n.children) if n.type == "heading" and n.known else tree.mention_text(n) if n.type == "mention" else n.text or None,
-        "level": t.clamp_level(tree.integer(a.get("level"), 1)) if n.type == "heading" else None, "anchor": tree.anchor_of(n.children) if n.type == "heading" and n.known else None,
-        "links": [{"url": u, "page": t.first_clean(*(tree.string(metadata(x).get(k)) for k in ("pageId", "contentId", "id")))} for u, x in links],
-        "file": tree.media(n) if n.known else None, "ext_type": tree.string(a.get("extensionType")) if macro else None, "ext_key": tree.string(a.get("extensionKey")) if macro else None,
-        "params": list(tree.macro_params(n).items()) if macro else None, "person": t.first_clean(tree.string(a.get("id")), tree.string(a.get("localId"))) if n.type == "mention" else None,
-        "unknown_marks": sum(not m.known for m in n.marks) if n.marks else 0, "attrs": tree.dump(a) if a and attributes else None, "raw": n.raw,
-    }
+    return [{"url": u, "page": t.first_clean(*(tree.string(metadata(x).get(k)) for k in ("pageId", "contentId", "id")))} for u, x in links]
 
 
+def _macro(n: tree.Node) -> bool:
+    return n.known and n.type in tree.EXTENSIONS
+
+
+def _heading(n: tree.Node) -> bool:
+    return n.known and n.type == "heading"
+
+
+#: A node's columns (of doc_id, place in order, path and node); links and pages as analysis reads them, headings with their text and explicit anchor.
+CELLS: dict[str, Callable] = {
+    "doc_id": lambda doc_id, order, path, n: doc_id, "path": lambda doc_id, order, path, n: path, "ord": lambda doc_id, order, path, n: order, "depth": lambda doc_id, order, path, n: len(path) - 1,
+    "kind": lambda doc_id, order, path, n: "inline" if n.inline else "block", "type": lambda doc_id, order, path, n: n.type, "known": lambda doc_id, order, path, n: n.known,
+    "text": lambda doc_id, order, path, n: tree.heading_text(n.children) if _heading(n) else tree.mention_text(n) if n.type == "mention" else n.text or None,
+    "level": lambda doc_id, order, path, n: t.clamp_level(tree.integer(n.attrs.get("level"), 1)) if n.type == "heading" else None,
+    "anchor": lambda doc_id, order, path, n: tree.anchor_of(n.children) if _heading(n) else None, "links": lambda doc_id, order, path, n: _links(n), "file": lambda doc_id, order, path, n: tree.media(n) if n.known else None,
+    "ext_type": lambda doc_id, order, path, n: tree.string(n.attrs.get("extensionType")) if _macro(n) else None, "ext_key": lambda doc_id, order, path, n: tree.string(n.attrs.get("extensionKey")) if _macro(n) else None,
+    "params": lambda doc_id, order, path, n: list(tree.macro_params(n).items()) if _macro(n) else None,
+    "person": lambda doc_id, order, path, n: t.first_clean(tree.string(n.attrs.get("id")), tree.string(n.attrs.get("localId"))) if n.type == "mention" else None,
+    "unknown_marks": lambda doc_id, order, path, n: sum(not m.known for m in n.marks) if n.marks else 0, "attrs": lambda doc_id, order, path, n: tree.dump(n.attrs) if n.attrs else None, "raw": lambda doc_id, order, path, n: n.raw,
+}
 NODES_DDL = {c.partition(" ")[0]: c for c in _DDL.split(", ")}
 
 
-def nodes(docs: DataFrame, columns: tuple[str, ...] = tuple(NODES.names)) -> DataFrame:
+def nodes(docs: DataFrame, columns: tuple[str, ...] = tuple(NODES.names), where: Callable[[tree.Node], bool] | None = None) -> DataFrame:
     """The node table of docs (doc_id, adf), or the columns of it that are asked for; documents that can't be read have no nodes.
 
-    Spark can't prune columns inside an Arrow function, so callers that read a few name them.
+    Spark can't prune columns or push filters inside an Arrow function, so
+    callers that read a few columns, or rows of a few nodes (``where``), name them.
     """
-    schema = pa.schema([NODES.field(c) for c in columns])
-    attributes = "attrs" in columns
+    fields = [NODES.field(c) for c in columns]
+    cells = [CELLS[c] for c in columns]
 
     def run(batches):
         for batch in batches:
-            rows = []
+            made: list[list] = [[] for _ in columns]
             for doc_id, adf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks, _ = tree.parse(adf)
-                rows += [node_row(doc_id, i, path, n, attributes) for i, (path, n) in enumerate(tree.walk(blocks or []))]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                for order, (path, n) in enumerate(tree.walk(blocks or [])):
+                    if where is None or where(n):
+                        for column, cell in zip(made, cells, strict=True):
+                            column.append(cell(doc_id, order, path, n))
+                if len(made[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, fields, strict=True)], columns)
+                    made = [[] for _ in columns]
+            if made[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, fields, strict=True)], columns)
 
     return docs.select(F.col("doc_id").cast("bigint"), "adf").mapInArrow(run, ", ".join(NODES_DDL[c] for c in columns))
 
