@@ -17,6 +17,7 @@ def plan(df) -> str:
 #: Queries whose joins are between tables that grow with the documents.
 JOINED = [
     "metadata_report",
+    "metadata_sections",
 ]
 
 
