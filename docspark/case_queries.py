@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import analyze, convert, parse
 from docspark.plans import render, tree
+from docspark.plans.session import spread
 from docspark.sources import lookups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,13 +44,17 @@ def sql_text(s: str) -> str:
     return f"replace(replace({s}, '§k', p_partkey::varchar), '§s', p_size::varchar)"
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
+
+
 def documents(spark: SparkSession, sf_dir: str, content: list, version=1) -> DataFrame:
     """doc_id and adf of each part; a mark that is a whole JSON string "§k!" becomes a number."""
     source = json.dumps({"type": "doc", "version": version, "content": content}, ensure_ascii=False, separators=(",", ":"))
     adf = F.lit(source)
     for mark, column in (('"§k!"', "p_partkey"), ('"§s!"', "p_size"), ("§k", "p_partkey"), ("§s", "p_size")):
         adf = F.replace(adf, F.lit(mark), F.col(column).cast("string"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), "p_size", adf.alias("adf"))
+    return parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), "p_size", adf.alias("adf"))
 
 
 def case(name: str, content: list, want: str, options: render.Options = render.Options(), title: str | None = None, **hooks) -> None:
@@ -151,9 +156,11 @@ def _grid(*rows: tuple[str, str]) -> str:
 
 @query(f"select p_partkey as doc_id, {_grid(("'x' || p_partkey", "'yyy'"), ("'z'", "''"))} as promoted, {_grid(("''", "''"), ("'x' || p_partkey", "'yyy'"), ("'z'", "''"))} as empty_header, '<table><tr><td>x' || p_partkey || '</td><td>yyy</td></tr><tr><td>z</td></tr></table>' as html from part")
 def table_fallbacks(spark, sf_dir):
-    docs = documents(spark, sf_dir, ONE)
-    made = [convert.convert(docs, render.Options(table_fallback=f)).select("doc_id", F.col("body").alias(n)) for n, f in (("promoted", "GFM_PROMOTE_FIRST_ROW"), ("empty_header", "GFM_EMPTY_HEADER"), ("html", "HTML"))]
-    return made[0].join(made[1], "doc_id").join(made[2], "doc_id")
+    """Each conversion keeps the document and the bodies before it, so nothing is joined."""
+    made, kept = documents(spark, sf_dir, ONE), ("doc_id", "adf")
+    for name, fallback in (("promoted", "GFM_PROMOTE_FIRST_ROW"), ("empty_header", "GFM_EMPTY_HEADER"), ("html", "HTML")):
+        made, kept = convert.convert(made, render.Options(table_fallback=fallback), keep=kept).select(*kept, F.col("body").alias(name)), (*kept, name)
+    return made.drop("adf")
 
 
 HEAD = row(cell(p("h|"), kind="tableHeader"), cell(p("key"), kind="tableHeader"))
@@ -222,7 +229,7 @@ def page_function(spark, sf_dir):
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's files: one with a link, one of the same title in other case, one without, and one without an id."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = parts(spark, sf_dir)
     key = F.col("p_partkey").cast("string")
     entry = lambda i, file, title, kind, url: F.struct(F.lit(i).alias("ord"), file.alias("file_id"), title.alias("title"), F.lit(kind).cast("string").alias("media_type"), url.alias("download_url"))
     none = F.lit(None).cast("string")
@@ -243,13 +250,13 @@ FILES = [macro("attachments"), node("mediaSingle", node("media", id="m§s", __fi
 @query("""with f as (select p_partkey doc_id, unnest(['A' || p_partkey, 'b' || p_partkey, 'm' || p_size]) file_id, unnest([0, 1, 2]) as ord, unnest(['Doc.PDF', 'pic.png', 'a.png']) title from part)
 select doc_id, ord::int as ord, file_id, title from f""")
 def attachment_expansion(spark, sf_dir):
-    nodes = parse.nodes(documents(spark, sf_dir, FILES), analyze.FIELDS)
+    nodes = parse.nodes(documents(spark, sf_dir, FILES), *analyze.FILES)
     return analyze.attachment_refs(nodes, inventory(spark, sf_dir)).select("doc_id", "ord", "file_id", "title")
 
 
 @query("""select p_partkey as doc_id, 'A' || p_partkey || ',b' || p_partkey || ',m' || p_size as ids from part""")
 def referenced_file_ids(spark, sf_dir):
-    found = analyze.referenced_file_ids(parse.nodes(documents(spark, sf_dir, FILES), analyze.FILE_FIELDS), inventory(spark, sf_dir))
+    found = analyze.referenced_file_ids(parse.nodes(documents(spark, sf_dir, FILES), *analyze.FILES), inventory(spark, sf_dir))
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "file_id"))).alias("a")).select("doc_id", F.array_join(F.col("a.file_id"), ",").alias("ids"))
 
 
@@ -265,21 +272,23 @@ RICH_DOCUMENT = [
 
 @query("""select p_partkey as doc_id, 'Part  ' || p_partkey || '|1|part--' || p_partkey || ';a B!|2|a-b;c d|2|own' || p_partkey as heads from part""")
 def heading_texts(spark, sf_dir):
-    heads = analyze.outline(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), analyze.FIELDS))
+    heads = analyze.outline(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), *analyze.HEADINGS))
     line = F.concat_ws("|", "text", F.col("level").cast("string"), "anchor")
     return heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))).alias("a")).select("doc_id", F.array_join(F.col("a.line"), ";").alias("heads"))
 
 
 @query("""select p_partkey as doc_id, unnest(['pagetree', 'children']) as macro, unnest(['R' || p_partkey, null]) as root, unnest([0, 2])::int as depth, unnest([false, true]) as all_levels from part""")
 def page_tree_refs(spark, sf_dir):
-    return analyze.page_tree_refs(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), analyze.FIELDS)).select("doc_id", "macro", "root", F.coalesce("depth", F.lit(0)).alias("depth"), "all_levels")
+    return analyze.page_tree_refs(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), *analyze.PAGE_TREES)).select("doc_id", "macro", "root", F.coalesce("depth", F.lit(0)).alias("depth"), "all_levels")
 
 
 @query("""select p_partkey as doc_id, p_partkey::varchar || ',c77' as pages, 'http://e/' || p_size || ',http://img/' || p_partkey || '.png' as urls from part""")
 def page_and_external_refs(spark, sf_dir):
-    nodes = parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), analyze.FIELDS).persist()
-    listed = lambda df, c, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", c))).alias("a")).select("doc_id", F.array_join(F.col(f"a.{c}"), ",").alias(name))
-    return listed(analyze.page_refs(nodes), "page_node_id", "pages").join(listed(analyze.external_refs(nodes), "url", "urls"), "doc_id")
+    """Both lists in one pass; documents without one of them drop out."""
+    found = analyze.page_and_external_refs(parse.nodes(documents(spark, sf_dir, RICH_DOCUMENT), *analyze.LINKS))
+    listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", c)))).alias(c)
+    both = found.groupBy("doc_id").agg(listed("page_node_id"), listed("url")).filter((F.size("page_node_id") > 0) & (F.size("url") > 0))
+    return both.select("doc_id", F.array_join("page_node_id.page_node_id", ",").alias("pages"), F.array_join("url.url", ",").alias("urls"))
 
 
 JSON_SECTIONS = sql_text(
@@ -293,7 +302,7 @@ JSON_SECTIONS = sql_text(
 @query(f"select p_partkey as doc_id, {JSON_SECTIONS} as json from part")
 def metadata_sections(spark, sf_dir):
     docs = documents(spark, sf_dir, RICH_DOCUMENT)
-    return convert.metadata(parse.nodes(docs, analyze.FIELDS).persist(), docs)
+    return convert.metadata(parse.nodes(docs, *analyze.METADATA).persist(), docs)
 
 
 TEXT_SECTIONS = sql_text(
@@ -305,8 +314,8 @@ TEXT_SECTIONS = sql_text(
 @query(f"select p_partkey as doc_id, {TEXT_SECTIONS} as report from part union all select -1 - p_partkey, 'pageRefs (0): none\n' from part")
 def metadata_report(spark, sf_dir):
     docs, bare = documents(spark, sf_dir, RICH_DOCUMENT), documents(spark, sf_dir, [p("x")])
-    empty = convert.metadata_report(parse.nodes(bare, analyze.FIELDS), bare, ("pageRefs",)).select((-1 - F.col("doc_id")).alias("doc_id"), "report")
-    return convert.metadata_report(parse.nodes(docs, analyze.FIELDS).persist(), docs).unionByName(empty)
+    empty = convert.metadata_report(parse.nodes(bare, *analyze.LINKS), bare, ("pageRefs",)).select((-1 - F.col("doc_id")).alias("doc_id"), "report")
+    return convert.metadata_report(parse.nodes(docs, *analyze.METADATA).persist(), docs).unionByName(empty)
 
 
 WHOLE = sql_text(
@@ -319,7 +328,7 @@ WHOLE = sql_text(
 def whole_results(spark, sf_dir):
     docs = documents(spark, sf_dir, [p('§k "q"'), macro("k", ext="t"), macro("children"), macro("excerpt-include", **{"": "P§s"})])
     linked = documents(spark, sf_dir, [p(text("l", link("/pages/§k")))])
-    return convert.to_json(convert.convert(docs), convert.metadata(parse.nodes(linked, analyze.FIELDS), linked, ("pageRefs",)))
+    return convert.to_json(convert.convert(docs), convert.metadata(parse.nodes(linked, *analyze.LINKS), linked, ("pageRefs",)))
 
 
 @query("""select p_partkey as doc_id, '{"validAdfRoot":' || case when p_partkey % 2 = 0 then 'true,"issues":[{"code":"UNSUPPORTED_VERSION","severity":"WARNING","message":"ADF version must be 1."}]}' else 'false,"issues":[{"code":"INVALID_CONTENT","severity":"ERROR","message":"ADF root must contain array field ''content''."}]}' end as json from part""")
@@ -340,7 +349,7 @@ def policy_diagnostics(spark, sf_dir):
     made = convert.convert(docs.filter("doc_id % 2 = 0"), render.Options(unknown_nodes="SKIP")).unionByName(convert.convert(docs.filter("doc_id % 2 = 1"), render.Options(unknown_nodes="PRESERVE_RAW")))
     passed = convert.gate(made, "warning").select("doc_id", F.lit(True).alias("passes"))
     first = F.element_at("diagnostics", 1)
-    return made.join(passed, "doc_id", "left").select("doc_id", F.concat_ws(":", first["code"], first["severity"], first["message"]).alias("note"), F.coalesce("passes", F.lit(False)).alias("passes"))
+    return made.join(passed.hint("merge"), "doc_id", "left").select("doc_id", F.concat_ws(":", first["code"], first["severity"], first["message"]).alias("note"), F.coalesce("passes", F.lit(False)).alias("passes"))
 
 
 @query("""select p_partkey as doc_id, '{"panelType":"info","r":{"a":"' || p_partkey || '"}}' as attrs, '{"type":"zap","attrs":{"q":' || p_size || '}}' as raw from part""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -10,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
+#: Rows of a table that one task makes into documents, at most and, where there are cores to spare, at least.
+TASK_ROWS, FEW_ROWS = 5_000, 500
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,6 +30,18 @@ def ship(spark: SparkSession) -> None:
     context._docspark_shipped = True
 
 
+def spread(df: DataFrame, *keys: str, most: int = TASK_ROWS) -> DataFrame:
+    """A table dealt by ``keys`` to tasks of ``most`` rows, or to all cores.
+
+    A file of short rows is one partition however many rows it has, so one task
+    would make and read all their documents.  The rows are counted from the
+    files' footers, and only columns in use are shuffled.
+    """
+    rows = df.count()
+    tasks = max(math.ceil(rows / most), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / FEW_ROWS)))
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The same query, with the package on the executors first."""
 

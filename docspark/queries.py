@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docspark import case_queries
 from docspark.operators import analyze, convert, parse
 from docspark.plans import render, tree
+from docspark.plans.session import spread
 
 MACRO = tree.MACRO
 
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, **most: int) -> DataFrame:
+    """A table of short rows, dealt to enough tasks to make and read a document for each."""
+    return spread(table(spark, sf_dir, name), key, **most)
+
+
 # ---- documents from rows
 
 
@@ -240,7 +246,7 @@ def orders_media(spark, sf_dir):
     name = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("f"), F.col("l_linenumber"), F.lit(".pdf")))
     item = node("mediaSingle", [node("media", None, F.to_json(F.struct(F.lit("file").alias("type"), (F.col("l_suppkey") % 7).cast("string").alias("id"), name.alias("__fileName"))))])
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *order, item.alias("m"))
+    li = dealt(spark, sf_dir, "lineitem", "l_orderkey", most=20_000).select("l_orderkey", *order, item.alias("m"))
     return li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(*order, "m"))).alias("a")).select("doc_id", doc(F.transform("a", lambda x: x["m"])).alias("adf"))
 
 
@@ -249,12 +255,12 @@ def orders_media(spark, sf_dir):
 select doc_id, file_id, arg_max(title, n) filter (title is not null) as title, arg_max(case when title is not null then 'application/pdf' else 'file' end, n) as media_type,
  (row_number() over (partition by doc_id order by min(n)) - 1)::int as ord from m group by doc_id, file_id""")
 def attachment_refs_upsert(spark, sf_dir):
-    return analyze.attachment_refs(parse.nodes(orders_media(spark, sf_dir), analyze.FILE_FIELDS))
+    return analyze.attachment_refs(parse.nodes(orders_media(spark, sf_dir), *analyze.FILES))
 
 
 @query("""select o_orderkey as doc_id, '[PDF: P' || o_custkey || '](' || case when p_partkey is not null then 'http://f/' || p_partkey else 'attachment:x' || o_orderkey end || ')' as body from orders left join part on p_partkey = o_custkey""")
 def attachment_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = dealt(spark, sf_dir, "orders", "o_orderkey")
     key = F.col("o_custkey").cast("bigint")
     docs = o.select(F.col("o_orderkey").alias("doc_id"), key.alias("k"), doc([macro("viewpdf", {"name": F.concat(F.lit("P"), key), "fileId": F.concat(F.lit("x"), F.col("o_orderkey"))})]).alias("adf"))
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit(" p"), F.col("p_partkey"), F.lit(" ")).alias("title"), F.concat(F.lit("http://f/"), F.col("p_partkey")).alias("download_url"))
@@ -332,7 +338,7 @@ def render_marks(spark, sf_dir):
     )
     shown = F.transform(marks, lambda m: F.concat(F.lit('{"type":"'), m["type"], F.lit('"'), F.coalesce(F.concat(F.lit(',"attrs":'), m["attrs"]), F.lit("")), F.lit("}")))
     inline = F.concat(F.lit('{"type":"text","text":'), quote(F.col("p_name")), F.lit(',"marks":['), F.array_join(shown, ","), F.lit("]}"))
-    return bodies(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), doc([paragraph(inline, text(F.concat(F.lit(" "), F.col("p_size"))))]).alias("adf"))).select("doc_id", "body")
+    return bodies(dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("doc_id"), doc([paragraph(inline, text(F.concat(F.lit(" "), F.col("p_size"))))]).alias("adf"))).select("doc_id", "body")
 
 
 def nations(spark, sf_dir, make: Callable[[Column], Column]) -> DataFrame:
@@ -355,13 +361,13 @@ def render_lists(spark, sf_dir):
 def render_tasks(spark, sf_dir):
     item = lambda state, t: node("taskItem", [text(t)], attrs(state=state))
     tasks = node("taskList", [item(F.when(F.col("o_orderstatus") == "F", "done").otherwise("TODO"), F.col("o_orderpriority")), node("taskList", [item("TODO", F.col("o_custkey").cast("string"))])])
-    return bodies(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), doc([tasks]).alias("adf"))).select("doc_id", "body")
+    return bodies(dealt(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), doc([tasks]).alias("adf"))).select("doc_id", "body")
 
 
 @query("""select o_orderkey as doc_id, '- \\[decision' || case when o_orderstatus = 'O' then '' else ':' || o_orderstatus end || '\\] ' || o_orderpriority as body from orders""")
 def render_decisions(spark, sf_dir):
     item = node("decisionItem", [text(F.col("o_orderpriority"))], F.to_json(F.struct(F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("state"))))
-    return bodies(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), doc([node("decisionList", [item])]).alias("adf"))).select("doc_id", "body")
+    return bodies(dealt(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), doc([node("decisionList", [item])]).alias("adf"))).select("doc_id", "body")
 
 
 def cell(t: Column, kind: str = "tableCell") -> Column:
@@ -389,7 +395,7 @@ def render_html_table(spark, sf_dir):
 def render_panel_quote(spark, sf_dir):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("info", "tip", "WARNING", "error", "success")]), (F.col("event_id") % 5 + 1).cast("int"))
     panel = node("panel", [paragraph(text(F.col("event_type"))), paragraph(text(F.concat(F.lit("v"), F.col("event_id"))))], attrs(panelType=kind))
-    return bodies(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), doc([panel]).alias("adf"))).select("doc_id", "body")
+    return bodies(dealt(spark, sf_dir, "events", "event_id").select(F.col("event_id").alias("doc_id"), doc([panel]).alias("adf"))).select("doc_id", "body")
 
 
 @query("""with d as (select doc_id, coalesce(text, '') || repeat('`', (doc_id % 6)::int) || ' ' || lang t from documents),
@@ -416,7 +422,7 @@ select p_partkey as doc_id, case when p_partkey % 6 in (0, 2, 4) then '!' else '
 def render_media(spark, sf_dir):
     e = F.element_at(F.array(*[F.lit(x) for x in EXTENSIONS]), (F.col("p_partkey") % 6 + 1).cast("int"))
     m = node("media", None, F.to_json(F.struct(F.lit("file").alias("type"), F.col("p_partkey").cast("string").alias("id"), F.lit("c").alias("collection"), F.col("p_size").alias("width"), F.concat(F.lit("f"), F.col("p_partkey"), F.lit("."), e).alias("__fileName"))))
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), doc([node("mediaSingle", [m])]).alias("adf"))
+    docs = dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("doc_id"), doc([node("mediaSingle", [m])]).alias("adf"))
     return bodies(docs, render.Options(image_sizes=True)).select("doc_id", "body")
 
 
@@ -424,7 +430,7 @@ def render_media(spark, sf_dir):
 def render_dates(spark, sf_dir):
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     stamp = F.when(F.col("event_id") % 2 == 0, seconds).otherwise(F.unix_millis(F.col("ts").cast("timestamp"))).cast("string")
-    return bodies(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), doc([paragraph(node("date", None, attrs(timestamp=stamp)))]).alias("adf"))).select("doc_id", "body")
+    return bodies(dealt(spark, sf_dir, "events", "event_id").select(F.col("event_id").alias("doc_id"), doc([paragraph(node("date", None, attrs(timestamp=stamp)))]).alias("adf"))).select("doc_id", "body")
 
 
 @query("""select page_id as doc_id, '[go](' || case page_id % 5 when 0 then url when 1 then 'javascript%3Aalert(' || page_id || ')' when 2 then '<' || url || ' x>' when 3 then 'mailto:a@b.c' else url || '%3C' end || ')' as body from pages""")
@@ -445,13 +451,13 @@ def media_type_infer(spark, sf_dir):
 def sync_status_placeholder(spark, sf_dir):
     status = node("status", None, F.to_json(F.struct(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("text"))))
     p = paragraph(status, text(" "), node("placeholder", None, attrs(text=F.col("o_orderpriority"))))
-    return bodies(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), doc([p, node("syncBlock", None, attrs(resourceId=F.col("o_custkey").cast("string")))]).alias("adf"))).select("doc_id", "body")
+    return bodies(dealt(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), doc([p, node("syncBlock", None, attrs(resourceId=F.col("o_custkey").cast("string")))]).alias("adf"))).select("doc_id", "body")
 
 
 @query("""select o_orderkey as doc_id, '<details><summary>' || o_orderpriority || ' &lt;b&gt;</summary>' || chr(10) || chr(10) || 'in' || chr(10) || chr(10) || '</details>' || chr(10) || chr(10) || '---' as body from orders""")
 def render_expand(spark, sf_dir):
     e = node("expand", [paragraph(text("in"))], attrs(title=F.concat(F.col("o_orderpriority"), F.lit(" <b>"))))
-    return bodies(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), doc([node("layoutSection", [node("layoutColumn", [e])]), node("rule")]).alias("adf"))).select("doc_id", "body")
+    return bodies(dealt(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), doc([node("layoutSection", [node("layoutColumn", [e])]), node("rule")]).alias("adf"))).select("doc_id", "body")
 
 
 @query("""select doc_id, true as ok, doc_id % 8 not in (0, 1) as lossy, (doc_id % 8 = 6)::int as warnings, (doc_id % 8 in (2, 3, 4, 5, 7))::int as errors from documents""")

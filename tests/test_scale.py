@@ -1,9 +1,11 @@
 """Plans at size: tables of short rows are dealt to tasks, tables of a row for each document are never broadcast."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from docspark import queries
 from docspark.operators import analyze, convert, parse
+from docspark.plans.session import spread
 from tests.test_relations import docs, rows  # noqa: F401
 from tests.test_render import adf, p
 
@@ -33,6 +35,27 @@ def test_sections_of_every_row(spark, docs):  # noqa: F811
     assert found.filter("doc_id = 1").count() == 2 and found.filter("doc_id is null").first()["json"] == '{"pageRefs":[]}' and found.count() == more.count()
 
 
+def test_spread(spark):
+    df = spark.range(0, 40_000, 1, 1)
+    assert [spread(x, "id").rdd.getNumPartitions() for x in (df, df.limit(4_000), df.limit(300))] == [8, 4, 1]
+    assert spread(df, "id", most=1_000).rdd.getNumPartitions() == 40
+    most = spread(df, "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 6_000
+
+
+#: Queries that make documents from rows of a table of short rows, in one task if it isn't dealt.
+DEALT = [
+    "page_tree_refs",
+]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_documents_are_made_in_many_tasks(spark, name):
+    """The walk or conversion stands above a deal by number."""
+    walks = plan(queries.QUERIES[name](spark, WHOLE)).split("MapInArrow")[1:]
+    assert walks and "REPARTITION_BY_NUM" in walks[-1]
+
+
 @pytest.mark.parametrize(("relation", "of"), [(analyze.outline, analyze.HEADINGS), (analyze.page_refs, analyze.LINKS), (analyze.external_refs, analyze.LINKS), (analyze.page_tree_refs, analyze.PAGE_TREES), (analyze.attachment_refs, analyze.FILES), (analyze.mention_refs, analyze.METADATA)])
 def test_relations_of_the_nodes_they_read(docs, relation, of):  # noqa: F811
     whole, some, all_sections = (parse.nodes(docs, *x) for x in ((), of, analyze.METADATA))
