@@ -20,6 +20,7 @@ def plan(df) -> str:
 JOINED = [
     "metadata_report",
     "metadata_sections",
+    "page_and_external_refs",
 ]
 
 
@@ -46,6 +47,7 @@ def test_spread(spark):
 #: Queries that make documents from rows of a table of short rows, in one task if it isn't dealt.
 DEALT = [
     "page_tree_refs",
+    "page_and_external_refs",
 ]
 
 
