@@ -20,6 +20,7 @@ def plan(df) -> str:
 JOINED = [
     "metadata_report",
     "metadata_sections",
+    "table_fallbacks",
     "page_and_external_refs",
 ]
 
@@ -48,6 +49,7 @@ def test_spread(spark):
 DEALT = [
     "page_tree_refs",
     "page_and_external_refs",
+    "table_fallbacks",
 ]
 
 
