@@ -50,6 +50,7 @@ DEALT = [
     "page_tree_refs",
     "page_and_external_refs",
     "table_fallbacks",
+    "render_html_cells",
 ]
 
 
