@@ -51,6 +51,7 @@ DEALT = [
     "page_and_external_refs",
     "table_fallbacks",
     "render_html_cells",
+    "heading_texts",
 ]
 
 
