@@ -52,6 +52,7 @@ DEALT = [
     "table_fallbacks",
     "render_html_cells",
     "heading_texts",
+    "render_charts",
 ]
 
 
