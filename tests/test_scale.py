@@ -53,6 +53,7 @@ DEALT = [
     "render_html_cells",
     "heading_texts",
     "render_charts",
+    "render_table_cells",
 ]
 
 
