@@ -54,6 +54,7 @@ DEALT = [
     "heading_texts",
     "render_charts",
     "render_table_cells",
+    "render_inline_cards",
 ]
 
 
