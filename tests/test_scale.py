@@ -22,6 +22,7 @@ JOINED = [
     "metadata_sections",
     "table_fallbacks",
     "page_and_external_refs",
+    "render_attachments",
 ]
 
 
@@ -56,6 +57,7 @@ DEALT = [
     "render_table_cells",
     "render_inline_cards",
     "render_media_groups",
+    "render_attachments",
 ]
 
 
