@@ -58,6 +58,7 @@ DEALT = [
     "render_inline_cards",
     "render_media_groups",
     "render_attachments",
+    "extension_order",
 ]
 
 
