@@ -59,6 +59,7 @@ DEALT = [
     "render_media_groups",
     "render_attachments",
     "extension_order",
+    "render_indent_align",
 ]
 
 
