@@ -60,6 +60,7 @@ DEALT = [
     "render_attachments",
     "extension_order",
     "render_indent_align",
+    "render_nested_lists",
 ]
 
 
