@@ -23,6 +23,7 @@ JOINED = [
     "table_fallbacks",
     "page_and_external_refs",
     "render_attachments",
+    "referenced_file_ids",
 ]
 
 
@@ -61,6 +62,7 @@ DEALT = [
     "extension_order",
     "render_indent_align",
     "render_nested_lists",
+    "referenced_file_ids",
 ]
 
 
