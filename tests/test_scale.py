@@ -63,6 +63,7 @@ DEALT = [
     "render_indent_align",
     "render_nested_lists",
     "referenced_file_ids",
+    "attachment_refs_upsert",
 ]
 
 
