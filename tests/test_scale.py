@@ -20,6 +20,7 @@ def plan(df) -> str:
 JOINED = [
     "metadata_report",
     "metadata_sections",
+    "whole_results",
     "table_fallbacks",
     "page_and_external_refs",
     "render_attachments",
@@ -64,6 +65,7 @@ DEALT = [
     "render_nested_lists",
     "referenced_file_ids",
     "attachment_refs_upsert",
+    "whole_results",
 ]
 
 
