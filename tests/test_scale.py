@@ -66,6 +66,7 @@ DEALT = [
     "referenced_file_ids",
     "attachment_refs_upsert",
     "whole_results",
+    "render_unknown_raw",
 ]
 
 
