@@ -24,6 +24,7 @@ JOINED = [
     "table_fallbacks",
     "page_and_external_refs",
     "render_attachments",
+    "attachment_expansion",
     "referenced_file_ids",
 ]
 
@@ -67,6 +68,7 @@ DEALT = [
     "attachment_refs_upsert",
     "whole_results",
     "render_unknown_raw",
+    "attachment_expansion",
 ]
 
 
