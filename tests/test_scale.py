@@ -69,6 +69,7 @@ DEALT = [
     "whole_results",
     "render_unknown_raw",
     "attachment_expansion",
+    "url_templates",
 ]
 
 
