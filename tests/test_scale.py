@@ -70,6 +70,7 @@ DEALT = [
     "render_unknown_raw",
     "attachment_expansion",
     "url_templates",
+    "render_ordered_nesting",
 ]
 
 
