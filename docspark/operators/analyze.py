@@ -24,13 +24,16 @@ FILES = (FILE_FIELDS, lambda n: n.type in ("media", "mediaInline") or n.type in
 METADATA = (tuple(c for c in FIELDS if c != "unknown_marks"), lambda n: n.type == "mention" or any(of[1](n) for of in (PAGE_TREES, LINKS, HEADINGS)))
 #: URLs of pages, the page id in the group (fixed value).
 PAGE_URL = r"(?i)^(?:https?://[^/]+)?(?:/wiki)?(?:/spaces/[^/]+)?/pages/(?:edit-v\d+/)?(\d+)(?:/[^?#]*)?(?:\?.*)?(?:#.*)?$"
-#: JVM white space at either end (fixed value).
-STRIP = r"^[\t\n\x0B\f\r\x1c-\x1f \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]+|[\t\n\x0B\f\r\x1c-\x1f \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]+$"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at either end, as the JVM does it."""
+    return F.btrim(c, F.lit(t.JVM_SPACE))
 
 
 def clean(c: Column) -> Column:
-    """Stripped as the JVM does, null when nothing is left."""
-    return F.nullif(F.regexp_replace(c, STRIP, ""), F.lit(""))
+    """Stripped, null when nothing is left."""
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def slug(text: Column) -> Column:
@@ -110,9 +113,9 @@ def mention_refs(nodes: DataFrame) -> DataFrame:
 
 
 def media_type(name: Column) -> Column:
-    """By the extension of the last path segment."""
-    segment = F.regexp_replace(F.regexp_extract(clean(name), r"^[^?#]*", 0), r"^.*/", "")
-    extension = F.lower(F.regexp_extract(segment, r"\.([^.]*)$", 1))
+    """By the extension of the last path segment; one with a slash in it isn't that segment's, and isn't known."""
+    path = F.substring_index(F.substring_index(clean(name), "?", 1), "#", 1)
+    extension = F.when(F.contains(path, F.lit(".")), F.lower(F.substring_index(path, ".", -1)))
     return F.element_at(F.create_map(*[F.lit(x) for kv in t.MEDIA_TYPES.items() for x in kv]), extension)
 
 
@@ -144,23 +147,26 @@ def viewed(nodes: DataFrame, inventory: DataFrame | None) -> DataFrame:
 
 
 def _files(shown: DataFrame, inventory: DataFrame | None) -> DataFrame:
-    """doc_id, path, i, file_id, title, media_type of media nodes by what they carry, and of viewpdf macros; one pass over the nodes for both."""
-    f = lambda k: clean(F.col(f"file.{k}"))
+    """doc_id, path, i, file_id, title, media_type of media nodes by what they carry, and of viewpdf macros; one pass over the nodes for both.
+
+    Step by step: in one expression its parts would stand many times, in a method too long for the JVM to compile.
+    """
     p = lambda k: F.col("params")[k]
-    carried = F.coalesce(f("file_name"), f("name"), f("alt"))
-    kind = F.coalesce(f("mime"), f("media_type"), media_type(carried), f("type"))
     own_id = F.coalesce(*[F.nullif(p(k), F.lit("")) for k in ("fileId", "id", "attachmentId")])
-    medium, known = F.col("file").isNotNull(), F.col("known.file_id").isNotNull()
-    rows = shown.select("doc_id", "path", "file", p("name").alias("name"), own_id.alias("own_id"))
+    medium, known = F.col("medium"), F.col("known.file_id").isNotNull()
+    fields = {f"m_{k}": stripped(F.col(f"file.{k}")) for k in ("file_name", "name", "alt", "mime", "media_type", "type", "id", "local_id")}
+    rows = shown.select("doc_id", "path", F.col("file").isNotNull().alias("medium"), p("name").alias("name"), own_id.alias("own_id"), *[c.alias(k) for k, c in fields.items()])
+    rows = rows.withColumns({k: F.nullif(F.col(k), F.lit("")) for k in fields}).withColumn("carried", F.coalesce("m_file_name", "m_name", "m_alt"))
+    rows = rows.withColumn("named", media_type(F.when(medium, F.col("carried")).otherwise(F.col("name"))))
     if inventory is not None:
         rows = rows.withColumn("title_key", F.when(~medium, F.lower(clean(F.col("name")))))
         listed = valid_inventory(inventory).select("doc_id", "title_key", F.struct("file_id", "title", "media_type").alias("known"))
         rows = rows.join(listed.hint("merge"), ["doc_id", "title_key"], "left")
     else:
         rows = rows.withColumn("known", F.lit(None).cast("struct<file_id:string,title:string,media_type:string>"))
-    file_id = F.when(medium, F.coalesce(f("id"), f("local_id"))).otherwise(F.coalesce("known.file_id", "own_id"))
-    title = F.when(medium, carried).when(known, clean(F.col("known.title"))).otherwise(clean(F.col("name")))
-    kind = F.when(medium, kind).when(known, clean(F.col("known.media_type"))).otherwise(media_type(F.col("name")))
+    file_id = F.when(medium, F.coalesce("m_id", "m_local_id")).otherwise(F.coalesce("known.file_id", "own_id"))
+    title = F.when(medium, F.col("carried")).when(known, clean(F.col("known.title"))).otherwise(clean(F.col("name")))
+    kind = F.when(medium, F.coalesce("m_mime", "m_media_type", "named", "m_type")).when(known, clean(F.col("known.media_type"))).otherwise(F.col("named"))
     found = rows.select("doc_id", "path", F.lit(0).alias("i"), file_id.alias("file_id"), title.alias("title"), kind.alias("media_type"))
     return found.filter("file_id is not null")
 

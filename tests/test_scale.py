@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark import queries
+from docspark.functions import text
 from docspark.operators import analyze, convert, parse
 from docspark.plans.session import spread
 from tests.test_relations import docs, rows  # noqa: F401
@@ -94,3 +95,17 @@ def test_both_kinds_of_links_in_one_pass(docs):  # noqa: F811
     both = analyze.page_and_external_refs(nodes)
     assert rows(both.filter("url is null"), "doc_id", "ord", "page_node_id") == rows(analyze.page_refs(nodes), "doc_id", "ord", "page_node_id")
     assert rows(both.filter("page_node_id is null"), "doc_id", "ord", "url") == rows(analyze.external_refs(nodes), "doc_id", "ord", "url")
+
+
+def test_files_are_read_step_by_step(docs):  # noqa: F811
+    """No step of the plan repeats the ones before it in one long expression (8,700 signs then), a method too long for the JVM to compile."""
+    assert max(map(len, plan(analyze.attachment_refs(parse.nodes(docs, *analyze.FILES))).splitlines())) < 3_000
+
+
+def test_white_space_as_the_jvm_strips_it(spark):
+    """A next-line sign isn't white space there, so what stands before it stays; types come from the last segment's extension."""
+    said = spark.createDataFrame([("  a \x85",), (" \t　",), ("\n x \n",)], "s string").select(analyze.clean(F.col("s"))).collect()
+    assert [r[0] for r in said] == [text.clean(s) for s in ("  a \x85", " \t　", "\n x \n")] == ["a \x85", None, "x "]
+    names = ["http://x/a.b/c.JPG?d=e.pdf", "a.pdf/b", "none", "a\n/b.Csv ", "png", ".png", "x.pdf#y.png", "a.", "?a.pdf", None]
+    found = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", analyze.media_type(F.col("n"))).collect()
+    assert [r[1] for r in sorted(found)] == [text.media_type(n) for n in names]
