@@ -302,7 +302,7 @@ JSON_SECTIONS = sql_text(
 @query(f"select p_partkey as doc_id, {JSON_SECTIONS} as json from part")
 def metadata_sections(spark, sf_dir):
     docs = documents(spark, sf_dir, RICH_DOCUMENT)
-    return convert.metadata(parse.nodes(docs, *analyze.METADATA).persist(), docs)
+    return convert.metadata(analyze.by_document(parse.nodes(docs, *analyze.METADATA)).persist(), docs, dealt=True)
 
 
 TEXT_SECTIONS = sql_text(
@@ -315,7 +315,7 @@ TEXT_SECTIONS = sql_text(
 def metadata_report(spark, sf_dir):
     docs, bare = documents(spark, sf_dir, RICH_DOCUMENT), documents(spark, sf_dir, [p("x")])
     empty = convert.metadata_report(parse.nodes(bare, *analyze.LINKS), bare, ("pageRefs",)).select((-1 - F.col("doc_id")).alias("doc_id"), "report")
-    return convert.metadata_report(parse.nodes(docs, *analyze.METADATA).persist(), docs).unionByName(empty)
+    return convert.metadata_report(analyze.by_document(parse.nodes(docs, *analyze.METADATA)).persist(), docs, dealt=True).unionByName(empty)
 
 
 WHOLE = sql_text(

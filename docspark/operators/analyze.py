@@ -81,22 +81,22 @@ def _links(nodes: DataFrame, media: bool = False) -> DataFrame:
     return one.filter(url.isNotNull() & (F.col("l.media") | (url != "#"))).select("doc_id", "path", "i", url.alias("url"), page.alias("page"))
 
 
-def by_document(df: DataFrame) -> DataFrame:
-    """Dealt by document once, which serves the groups and windows within documents that follow."""
-    return df.repartition("doc_id")
+def by_document(df: DataFrame, dealt: bool = False) -> DataFrame:
+    """Dealt by document once, which serves the groups and windows within documents that follow; ``dealt``: it is so already."""
+    return df if dealt else df.repartition("doc_id")
 
 
-def _first_seen(df: DataFrame, *values: str) -> DataFrame:
-    found = by_document(df).groupBy("doc_id", *values).agg(F.min(F.struct("path", "i")).alias("path"))
+def _first_seen(df: DataFrame, *values: str, dealt: bool = False) -> DataFrame:
+    found = by_document(df, dealt).groupBy("doc_id", *values).agg(F.min(F.struct("path", "i")).alias("path"))
     return numbered(found)
 
 
-def page_refs(nodes: DataFrame) -> DataFrame:
-    return _first_seen(_links(nodes).filter("page is not null").withColumnRenamed("page", "page_node_id"), "page_node_id")
+def page_refs(nodes: DataFrame, dealt: bool = False) -> DataFrame:
+    return _first_seen(_links(nodes).filter("page is not null").withColumnRenamed("page", "page_node_id"), "page_node_id", dealt=dealt)
 
 
-def external_refs(nodes: DataFrame) -> DataFrame:
-    return _first_seen(_links(nodes, media=True).filter("page is null"), "url")
+def external_refs(nodes: DataFrame, dealt: bool = False) -> DataFrame:
+    return _first_seen(_links(nodes, media=True).filter("page is null"), "url", dealt=dealt)
 
 
 def page_and_external_refs(nodes: DataFrame) -> DataFrame:
@@ -107,9 +107,9 @@ def page_and_external_refs(nodes: DataFrame) -> DataFrame:
     return found.select("doc_id", (F.row_number().over(within) - 1).cast("int").alias("ord"), "page_node_id", "url")
 
 
-def mention_refs(nodes: DataFrame) -> DataFrame:
+def mention_refs(nodes: DataFrame, dealt: bool = False) -> DataFrame:
     people = nodes.filter((F.col("type") == "mention") & F.col("known")).select("doc_id", "path", F.lit(0).alias("i"), F.col("person").alias("mention_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return _first_seen(people, "mention_id", "text")
+    return _first_seen(people, "mention_id", "text", dealt=dealt)
 
 
 def media_type(name: Column) -> Column:
@@ -119,7 +119,7 @@ def media_type(name: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in t.MEDIA_TYPES.items() for x in kv]), extension)
 
 
-def attachment_refs(nodes: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+def attachment_refs(nodes: DataFrame, inventory: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """doc_id, ord, file_id, title, media_type: first-seen order, the last title and type that aren't blank."""
     seen = _files(nodes.filter(F.col("file").isNotNull() | is_macro("viewpdf")), inventory)
     if inventory is not None:
@@ -127,12 +127,12 @@ def attachment_refs(nodes: DataFrame, inventory: DataFrame | None = None) -> Dat
         listed = nodes.filter(is_macro("attachments")).select("doc_id", "path").join(own.hint("merge"), "doc_id").select("doc_id", "path", F.col("ord").alias("i"), "file_id", clean(F.col("title")).alias("title"), clean(F.col("media_type")).alias("media_type"))
         seen = seen.unionByName(listed)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("path", "i"))).alias(c)
-    return numbered(by_document(seen).groupBy("doc_id", "file_id").agg(F.min(F.struct("path", "i")).alias("path"), last("title"), last("media_type")))
+    return numbered(by_document(seen, dealt and inventory is None).groupBy("doc_id", "file_id").agg(F.min(F.struct("path", "i")).alias("path"), last("title"), last("media_type")))
 
 
-def referenced_file_ids(nodes: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+def referenced_file_ids(nodes: DataFrame, inventory: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """doc_id, ord, file_id: each file that a document refers to, once, in first-seen order."""
-    return attachment_refs(nodes, inventory).filter(clean(F.col("file_id")).isNotNull()).select("doc_id", "ord", "file_id")
+    return attachment_refs(nodes, inventory, dealt).filter(clean(F.col("file_id")).isNotNull()).select("doc_id", "ord", "file_id")
 
 
 def valid_inventory(inventory: DataFrame) -> DataFrame:

@@ -286,8 +286,8 @@ SECTIONS = ("pageRefs", "externalRefs", "mentionRefs", "attachmentRefs", "refere
 REPORT = ("outline", *SECTIONS[:-1])
 
 
-def _section_rows(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...], inventory: DataFrame | None, options: render.Options) -> DataFrame:
-    """doc_id, section, ord, json and line of every entry of the sections asked for."""
+def _section_rows(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...], inventory: DataFrame | None, options: render.Options, field: str, dealt: bool) -> DataFrame:
+    """doc_id, section (its place in SECTIONS), ord and ``field`` (json or line) of every entry of the sections asked for."""
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections: {sorted(unknown)}")
@@ -299,11 +299,11 @@ def _section_rows(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...],
     tree_json = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"macro":'), json_value("macro")), F.concat(F.lit('"root":'), json_value("root")), depth, F.concat(F.lit('"all":'), F.col("all_levels").cast("string")), F.concat(F.lit('"parameters":'), parameters)), F.lit("}"))
     strip = lambda c: F.regexp_replace(F.col(c), r"^\s+|\s+$", "")
     make = {
-        "pageRefs": (lambda: analyze.page_refs(nodes), json_value("page_node_id"), said("page_node_id")),
-        "externalRefs": (lambda: analyze.external_refs(nodes), json_value("url"), said("url")),
-        "mentionRefs": (lambda: analyze.mention_refs(nodes), member(id=json_value("mention_id"), text=json_value("text")), brackets("text", "mention_id")),
-        "attachmentRefs": (lambda: analyze.attachment_refs(nodes, inventory), member(fileId=json_value("file_id"), title=json_value("title"), mediaType=json_value("media_type")), brackets("title", "file_id")),
-        "referencedFileIds": (lambda: analyze.referenced_file_ids(nodes, inventory), json_value("file_id"), said("file_id")),
+        "pageRefs": (lambda: analyze.page_refs(nodes, dealt), json_value("page_node_id"), said("page_node_id")),
+        "externalRefs": (lambda: analyze.external_refs(nodes, dealt), json_value("url"), said("url")),
+        "mentionRefs": (lambda: analyze.mention_refs(nodes, dealt), member(id=json_value("mention_id"), text=json_value("text")), brackets("text", "mention_id")),
+        "attachmentRefs": (lambda: analyze.attachment_refs(nodes, inventory, dealt), member(fileId=json_value("file_id"), title=json_value("title"), mediaType=json_value("media_type")), brackets("title", "file_id")),
+        "referencedFileIds": (lambda: analyze.referenced_file_ids(nodes, inventory, dealt), json_value("file_id"), said("file_id")),
         "pageTreeRefs": (lambda: analyze.page_tree_refs(nodes), tree_json, F.concat("macro", F.lit(" root="), said("root"))),
         "excerptRefs": (lambda: analyze.excerpt_refs(nodes), member(page=json_value("page"), excerptName=json_value("name"), parameters=parameters), F.concat_ws("/", "page", "name")),
         "excerpts": (lambda: excerpt_bodies(docs, "doc_id", options), member(name=json_value("name"), markdown=json_value("markdown")), F.concat(F.coalesce("name", F.lit("(unnamed)")), F.lit(": "), strip("markdown"))),
@@ -314,38 +314,38 @@ def _section_rows(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...],
     }
     rows = None
     for name in (s for s in SECTIONS if s in sections):
-        df, as_json, line = make[name][0](), make[name][1], make[name][2]
-        one = df.select("doc_id", F.lit(name).alias("section"), F.col("ord").cast("int").alias("ord"), as_json.alias("json"), line.alias("line"))
+        df, said_as = make[name][0](), make[name][1 if field == "json" else 2]
+        one = df.select("doc_id", F.lit(SECTIONS.index(name)).alias("section"), F.col("ord").cast("int").alias("ord"), said_as.alias(field))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
-def _by_section(nodes, docs, sections, inventory, options) -> tuple[DataFrame, Callable]:
-    """docs' ids with a map from a section to its entries (json, line), and the entries of a section."""
-    rows = _section_rows(nodes, docs, sections, inventory, options)
-    lists = analyze.by_document(rows).groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("ord", "json", "line"))).alias("entries"))
-    maps = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "entries"))).alias("of"))
-    entry = lambda name, field: F.coalesce(F.transform(F.element_at("of", F.lit(name)), lambda x: x[field]), F.array().cast("array<string>"))
-    return docs.select("doc_id").join(maps.hint("merge"), "doc_id", "left"), entry
+def _by_section(nodes, docs, sections, inventory, options, field, dealt) -> tuple[DataFrame, Callable]:
+    """docs' ids with their entries of all sections in one list, and the texts of a section's entries in order; one deal and one group for all sections."""
+    rows = analyze.by_document(_section_rows(nodes, docs, sections, inventory, options, field, dealt))
+    lists = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section", "ord", field))).alias("entries"))
+    entry = lambda name: F.coalesce(F.transform(F.filter("entries", lambda x: x["section"] == SECTIONS.index(name)), lambda x: x[field]), F.array().cast("array<string>"))
+    return docs.select("doc_id").join(lists.hint("merge"), "doc_id", "left"), entry
 
 
-def metadata(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...] = SECTIONS, inventory: DataFrame | None = None, options: render.Options = render.Options()) -> DataFrame:
+def metadata(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...] = SECTIONS, inventory: DataFrame | None = None, options: render.Options = render.Options(), dealt: bool = False) -> DataFrame:
     """doc_id and the metadata as JSON; sections that aren't asked for aren't computed, the others are grouped in one shuffle.
 
-    Each section reads the nodes, so persist or write them where several are asked for.
+    Each section reads the nodes, so persist or write them where several are
+    asked for, dealt by document (``dealt``): then no section shuffles them again.
     """
-    joined, entry = _by_section(nodes, docs, sections, inventory, options)
-    parts = [F.concat(F.lit(f'"{s}":['), F.array_join(entry(s, "json"), ","), F.lit("]")) for s in SECTIONS if s in sections]
+    joined, entry = _by_section(nodes, docs, sections, inventory, options, "json", dealt)
+    parts = [F.concat(F.lit(f'"{s}":['), F.array_join(entry(s), ","), F.lit("]")) for s in SECTIONS if s in sections]
     return joined.select("doc_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
 
 
-def metadata_report(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...] = SECTIONS, inventory: DataFrame | None = None, options: render.Options = render.Options()) -> DataFrame:
+def metadata_report(nodes: DataFrame, docs: DataFrame, sections: tuple[str, ...] = SECTIONS, inventory: DataFrame | None = None, options: render.Options = render.Options(), dealt: bool = False) -> DataFrame:
     """doc_id and the metadata as text: the outline's headings, then each list with its length."""
-    joined, entry = _by_section(nodes, docs, sections, inventory, options)
+    joined, entry = _by_section(nodes, docs, sections, inventory, options, "line", dealt)
     parts = []
     for s in (s for s in REPORT if s in sections):
-        shown = F.array_join(F.transform(entry(s, "line"), lambda x: F.concat(F.lit("  "), x, F.lit("\n"))), "")
-        n = F.size(entry(s, "line"))
+        shown = F.array_join(F.transform(entry(s), lambda x: F.concat(F.lit("  "), x, F.lit("\n"))), "")
+        n = F.size(entry(s))
         head = F.lit("outline:\n") if s == "outline" else F.concat(F.lit(f"{s} ("), n.cast("string"), F.when(n == 0, F.lit("): none\n")).otherwise(F.lit("):\n")))
         parts.append(F.concat(head, shown))
     return joined.select("doc_id", F.concat(*parts).alias("report"))

@@ -35,6 +35,22 @@ def test_rows_of_documents_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in plan(queries.QUERIES[name](spark, WHOLE))
 
 
+def test_sections_share_one_deal(spark):
+    """Nodes are dealt by document before they are kept, so no section's windows and groups shuffle them again; what is left is the join with the documents."""
+    made = queries.QUERIES["metadata_sections"](spark, "/root/testdata/sf0.001")
+    made.collect()
+    lines = plan(made).partition("Initial Plan")[0].splitlines()
+    spark.catalog.clearCache()
+    assert sum("Exchange hashpartitioning(doc_id" in x and "ENSURE_REQUIREMENTS" in x for x in lines) <= 2
+
+
+def test_sections_of_dealt_nodes(docs):  # noqa: F811
+    nodes = parse.nodes(docs)
+    for made in (convert.metadata, convert.metadata_report):
+        want = sorted(map(str, made(nodes, docs).collect()))
+        assert want and sorted(map(str, made(analyze.by_document(nodes), docs, dealt=True).collect())) == want
+
+
 def test_sections_of_every_row(spark, docs):  # noqa: F811
     """Rows of one doc_id and of none keep a row each."""
     more = docs.unionByName(spark.createDataFrame([(1, adf(p("z"))), (None, adf(p("n")))], "doc_id bigint, adf string"))
